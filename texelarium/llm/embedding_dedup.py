@@ -13,10 +13,12 @@ Links are kept in proportion to the vectors, also in dense groups:
   link by the triangle inequality, so they are counted, not listed. The leader is
   the smallest node of a tight verified pair; leaders of leaders are adopted as
   long as a member is itself verified to be that near;
-* two balls that any verified pair connects are compared member by member in
-  blocks of NumPy products that return counts. No pairs are listed.
+* balls that verified pairs connect form a component, whose members are compared
+  in blocks of NumPy products that return one count per member. Blocks of the
+  same ball are not compared, nor blocks too far apart for any link. No pairs
+  are listed.
 
-So number of links = ball (copies included) less one + links to other balls.
+So number of links = ball (copies included) less one + links to other balls of the component.
 
 Defined cases: null labels or vectors, zero vectors and vectors with null or
 non-finite components link with nothing: 0 links, own component. Vectors of
@@ -133,20 +135,38 @@ def _near(limit: float):
 
 
 def _between(threshold: float):
-    """Counts the links between two blocks of members of different balls."""
+    """Counts the links between the members of two blocks, but for members of one ball."""
+    reach = math.acos(threshold)
+
+    def block(balls, mult, flat) -> tuple:
+        balls, mult = np.array(balls, dtype="S16"), np.asarray(mult, dtype=np.int64)
+        x = np.asarray(flat, dtype=np.float64).reshape(len(mult), -1)
+        x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        c = x.mean(axis=0)
+        c = c / max(float(np.sqrt(c @ c)), 1e-300)
+        return balls, mult, x, c, float(np.arccos(np.clip(x @ c, -1, 1)).max())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[bytes, int] = {}
+        last, own = None, None
         for pdf in batches:
-            for a, b, left, right in zip(pdf["a"], pdf["b"], pdf["left"], pdf["right"]):
-                x, y = (np.array([m["vec"] for m in side], dtype=np.float64) for side in (left, right))
-                nx, ny = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", y, y))
-                hit = (x @ y.T) / np.outer(nx, ny) >= threshold
-                if not hit.any():
+            for r in pdf.itertuples(index=False):
+                if r.i != last:
+                    last, own = r.i, block(r.balls, r.mult, r.flat)
+                ba, ma, x, ca, ra = own
+                bb, mb, y, cb, rb = block(r.balls_b, r.mult_b, r.flat_b)
+                if float(np.arccos(np.clip(ca @ cb, -1, 1))) > ra + rb + reach + 1e-6:
                     continue
-                mx, my = np.array([m["mult"] for m in left]), np.array([m["mult"] for m in right])
-                nodes = [m["node"] for m in left] + [m["node"] for m in right]
-                n = np.concatenate((hit @ my, hit.T @ mx))
-                yield pd.DataFrame({"a": [a] * len(nodes), "b": [b] * len(nodes), "node": nodes, "n": n})[n > 0]
+                hit = (x @ y.T >= threshold) & (ba[:, None] != bb[None, :])
+                sides = [(r.nodes, hit @ mb)] + ([] if r.i == r.j else [(r.nodes_b, hit.T @ ma)])
+                for nodes, n in sides:
+                    for k in np.flatnonzero(n):
+                        total[nodes[k]] = total.get(nodes[k], 0) + int(n[k])
+            if len(total) > 200_000:
+                yield pd.DataFrame(list(total.items()), columns=["node", "n"])
+                total = {}
+        if total:
+            yield pd.DataFrame(list(total.items()), columns=["node", "n"])
 
     return run
 
@@ -195,15 +215,22 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     pairs = found.join(of.select(F.col("node").alias("a"), F.col("ball").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("ball").alias("y")), "b").filter("x <> y")
     pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     sizes = balls.groupBy("ball").agg(F.sum("mult").alias("ball_mult"), F.count("*").alias("members"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
-    member = balls.join(asked, "ball").join(sizes.select("ball", "members"), "ball").join(vecs, "node")
-    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block).cast("long")).cast("int")
-    blocks = member.groupBy("ball", cut.alias("k")).agg(F.collect_list(F.struct("node", "mult", "vec")).alias("list"))
-    blocks = materialize(blocks, "blocks")
-    crossed = pairs.join(blocks.select(F.col("ball").alias("a"), F.col("list").alias("left")), "a").join(blocks.select(F.col("ball").alias("b"), F.col("list").alias("right")), "b")
-    crossed = materialize(crossed.select("a", "b", "left", "right").mapInPandas(_between(threshold), "a binary, b binary, node binary, n long"), "crossed")
-    more = crossed.groupBy("node").agg(F.sum("n").alias("more"))
-    groups = connected_components(crossed.select("a", "b").distinct(), "a", "b").select(F.col("node").alias("ball"), "component")
+    groups = connected_components(pairs, "a", "b").select(F.col("node").alias("ball"), "component")
+    groups = materialize(groups, "groups")
+    # blocks: a large ball has its own, small balls of a component share some; spread by hash, so no group is one task's
+    member = balls.join(groups, "ball").join(sizes.select("ball", "members"), "ball")
+    small = F.col("members") < block // 2
+    part = F.when(small, F.lit(b"")).otherwise(F.col("ball"))
+    member = member.withColumn("part", part)
+    fill = member.groupBy("component", "part").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    spread = F.pmod(F.xxhash64(F.when(small, F.col("ball")).otherwise(F.col("node"))), F.col("blocks")).alias("k")
+    member = member.join(fill, ["component", "part"]).join(vecs, "node")
+    listed = member.groupBy("component", "part", spread).agg(F.collect_list(F.struct("node", "ball", "mult", "vec")).alias("m"))
+    cols = {"nodes": F.transform("m", lambda x: x["node"]), "balls": F.transform("m", lambda x: x["ball"]), "mult": F.transform("m", lambda x: x["mult"]), "flat": F.flatten(F.transform("m", lambda x: x["vec"]))}
+    blocks = materialize(listed.withColumns(cols).withColumn("i", F.xxhash64("component", "part", "k")).select("component", "part", "i", *cols), "blocks")
+    other = blocks.select("component", *[F.col(c).alias(f"{c}_b") for c in ("part", *cols)], F.col("i").alias("j"))
+    both = blocks.join(other, "component").filter("i <= j AND NOT (part = part_b AND octet_length(part) > 0)")
+    more = both.select("i", "j", *cols, *[f"{c}_b" for c in cols]).mapInPandas(_between(threshold), "node binary, n long").groupBy("node").agg(F.sum("n").alias("more"))
     whole = balls.join(sizes.select("ball", "ball_mult"), "ball").join(groups, "ball", "left").join(more, "node", "left")
     whole = whole.select("node", "ball", F.coalesce("component", "ball").alias("component"), (F.col("ball_mult") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     rows = materialize(named.select("id", "node").join(whole, "node", "left"), "rows")
