@@ -3,12 +3,13 @@
 Encoding. For every prefix of a piece the encoding is unique, and a sequence of
 tokens is the encoding exactly if every token encodes to itself and every two
 neighbours do together. So the encoder is a nondeterministic transducer whose
-states are (last token, trie node of the token under way). It is determinised
-lazily: a deterministic state is the set of live (trie node, tokens not yet
-emitted) configurations, built when a text first needs it. Tokens go out as soon
-as all live configurations agree on them, which takes a lookahead of at most the
-longest token. Memory is bounded: the state table and the memo of pieces are
-emptied when they reach their limits.
+configurations are (trie node of the token under way, last token before it). It
+is determinised lazily: a deterministic state is the list of live
+configurations, built when a text first needs it, and each step outputs the last
+token of the encoding so far. A token is emitted as soon as the paths of all live
+configurations agree on it, which takes a lookahead of about the longest token.
+Memory is bounded: the state table and the memo of pieces are emptied when they
+reach their limits.
 
 Decoding is streaming: an incremental UTF-8 state machine (malformed bytes
 become U+FFFD) whose steps over whole tokens are remembered per (state, token).
@@ -31,12 +32,13 @@ from pyspark.sql import functions as F
 
 #: White space of Unicode (the White_Space property), as a character class.
 _SPACE = r"\t-\r \x85\xa0  -     　"
-#: The pattern whose pieces the coarse bounds below keep; other patterns are applied to the whole text.
+#: The pattern that the faster one below equals; other patterns are applied as they are.
 _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_BLANK = re.compile(rf"[{_SPACE}]+")
-#: A blank and a run of other characters, or a run of white space: pieces never cross these bounds.
-_COARSE = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_STATES, _PIECES, _LONG = 40_000, 150_000, 256
+#: Numerals that are no decimal digits: ``re`` takes them for letters.
+_ODD = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: The same pieces in the terms of ``re``, which is faster; it needs a text without numerals other than decimal digits.
+_FAST = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_STATES, _PIECES, _LONG = 250_000, 250_000, 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,111 +52,176 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = _STATES):
         self.ranks, self.most = ranks, most_states
         self.bytes_of = {i: b for b, i in ranks.items()}
-        missing = [b for b in range(256) if bytes([b]) not in ranks]
+        self.size = {i: (i, len(b)) for b, i in ranks.items()}
+        missing = sum(bytes([b]) not in ranks for b in range(256))
         if missing:
-            raise ValueError(f"a byte-level vocabulary needs all single bytes; {len(missing)} are missing")
-        # trie: node -> {byte: node}; token at a node
-        self.next: list[dict[int, int]] = [{}]
-        self.token: list[int] = [-1]
+            raise ValueError(f"a byte-level vocabulary needs all single bytes; {missing} are missing")
+        # trie: node << 8 | byte to node; token and depth of a node, and whether it goes on
+        self.child: dict[int, int] = {}
+        self.token, self.depth, self.inner = [-1], [0], [True]
         for b, i in ranks.items():
             node = 0
             for c in b:
-                to = self.next[node].get(c)
+                self.inner[node] = True
+                to = self.child.get(node << 8 | c)
                 if to is None:
-                    to = self.next[node][c] = len(self.next)
-                    self.next.append({})
+                    to = self.child[node << 8 | c] = len(self.token)
                     self.token.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.inner.append(False)
                 node = to
             self.token[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.own: dict[int, bool] = {}
+        self.bits = max(self.bytes_of).bit_length()
+        self.pairs: dict[int, bool] = {}
+        self.parts: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
-    def reset(self) -> None:
-        start = ((0, (-1,)),)
-        self.states, self.ids, self.steps = [start], {start: 0}, [{}]
+    def reset(self, first: tuple = (0, -1)) -> None:
+        self.states, self.ids, self.steps = [first], {first: 0}, {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Plain definition, for short byte strings: merge the lowest-ranked pair until none is left."""
+    def merge(self, piece: bytes, until: int = 1) -> list[bytes]:
+        """Plain definition, for short byte strings: merge the lowest-ranked pair until none or ``until`` parts are left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > until:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def whole(self, t: int) -> bool:
-        ok = self.own.get(t)
-        if ok is None:
-            ok = self.own[t] = self.merge(self.bytes_of[t]) == [t]
-        return ok
+        return parts
+
+    def split(self, t: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes t last; (-1, -1) for a byte; None if t does not encode to itself."""
+        if t not in self.parts:
+            b = self.bytes_of[t]
+            if len(b) == 1:
+                self.parts[t] = -1, -1
+            else:
+                two = self.merge(b, 2)
+                self.parts[t] = (self.ranks[two[0]], self.ranks[two[1]]) if len(two) == 2 else None
+        return self.parts[t]
 
     def fits(self, s: int, t: int) -> bool:
-        """May token t follow token s?"""
-        if s < 0:
-            return True
-        ok = self.pairs.get((s, t))
-        if ok is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            ok = self.pairs[s, t] = self.merge(self.bytes_of[s] + self.bytes_of[t]) == [s, t]
+        """Do tokens s and t encode to themselves side by side?
+
+        Merges run in the order of rank, so undoing them from the last one back
+        visits every two parts that ever stand side by side at the bound. The
+        tokens stay apart if no such pair would merge while both are there. (A
+        part that ranks above what it makes breaks that order: then by definition.)
+        """
+        key = s << self.bits | t
+        ok = self.pairs.get(key)
+        if ok is not None:
+            return ok
+        if len(self.pairs) > 600_000:
+            self.pairs.clear()
+        ranks, name = self.ranks, self.bytes_of
+        a, b, end_a, end_b = s, t, 1 << 60, 1 << 60
+        ok = True
+        while True:
+            r = ranks.get(name[a] + name[b])
+            if r is not None and r < end_a and r <= end_b:
+                ok = False
+                break
+            pa, pb = self.split(a), self.split(b)
+            byte_a, byte_b = pa[0] < 0, pb[0] < 0
+            if byte_a and byte_b:
+                break
+            if byte_b or not byte_a and a > b:  # the later merge is undone; of equal ones, the right one
+                if pa[1] > a or pa[0] > a:
+                    ok = self.merge(name[s] + name[t]) == [name[s], name[t]]
+                    break
+                a, end_a = pa[1], a
+            else:
+                if pb[0] > b or pb[1] > b:
+                    ok = self.merge(name[s] + name[t]) == [name[s], name[t]]
+                    break
+                b, end_b = pb[0], b
+        self.pairs[key] = ok
         return ok
 
-    def step(self, state: int, c: int) -> tuple[int, tuple[int, ...]]:
-        """Builds one deterministic transition: (next state, tokens emitted)."""
-        live, done = [], None
-        for node, out in self.states[state]:
-            to = self.next[node].get(c)
+    def step(self, state: int, c: int) -> int:
+        """Builds one deterministic transition: next state << bits | last token so far."""
+        old, live, done = self.states[state], [], -1
+        child, token, inner = self.child, self.token, self.inner
+        for k in range(0, len(old), 2):
+            to = child.get(old[k] << 8 | c)
             if to is None:
                 continue
-            t = self.token[to]
-            if done is None and t >= 0 and self.whole(t) and self.fits(out[-1], t):
-                done = (0, (*out, t))
-            if self.next[to]:
-                live.append((to, out))
-        live.append(done)
-        # what all configurations agree on goes out; the last token agreed on stays as context
-        first = live[0][1]
-        n = min(len(out) for _, out in live)
-        k = 1
-        while k < n and all(out[k] == first[k] for _, out in live):
-            k += 1
-        emitted = first[1:k]
-        new = tuple((node, out[k - 1 :]) for node, out in live)
+            if done < 0 and (t := token[to]) >= 0 and self.split(t) is not None and ((s := old[k + 1]) < 0 or self.fits(s, t)):
+                done = t
+            if inner[to]:
+                live += (to, old[k + 1])
+        live += (0, done)
+        new = tuple(live)
         i = self.ids.get(new)
         if i is None:
             i = self.ids[new] = len(self.states)
             self.states.append(new)
-            self.steps.append({})
-        self.steps[state][c] = i, emitted
-        return i, emitted
+        got = self.steps[state << 8 | c] = i << self.bits | done
+        return got
 
-    def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
+    def stream(self, chunks: Iterable[bytes], every: int = 256) -> Iterator[int]:
         """Encodes a piece that arrives in chunks, emitting tokens after bounded lookahead."""
-        state = 0
+        state, last, mask = 0, [], (1 << self.bits) - 1
         for chunk in chunks:
             for c in chunk:
-                found = self.steps[state].get(c)
-                if found is None:
+                got = self.steps.get(state << 8 | c)
+                if got is None:
                     if len(self.states) >= self.most:
-                        kept = self.states[state]
                         self.reset()
-                        state = self.ids.setdefault(kept, len(self.states))
-                        if state == len(self.states):
-                            self.states.append(kept)
-                            self.steps.append({})
-                    found = self.step(state, c)
-                state, out = found
-                if out:
-                    yield from out
-        for node, out in self.states[state]:
-            if node == 0:
-                yield from out[1:]
+                        state = self._known(kept) if (kept := self._held) else 0
+                    got = self.step(state, c)
+                state = got >> self.bits
+                self._held = self.states[state]
+                last.append(got & mask)
+                if len(last) >= every:
+                    n = self._agreed(last, state)
+                    yield from self._path(last, n)
+                    del last[:n]
+        yield from self._path(last, len(last))
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else list(self.stream((piece,)))
+        if whole is not None:
+            return [whole]
+        if len(piece) > 4096:
+            return list(self.stream((piece,)))
+        if len(self.states) >= self.most:
+            self.reset()
+        known, bits, mask, state, last = self.steps.get, self.bits, (1 << self.bits) - 1, 0, []
+        add = last.append
+        for c in piece:
+            got = known(state << 8 | c) or self.step(state, c)
+            state = got >> bits
+            add(got & mask)
+        return self._path(last, len(last))
+
+    _held: tuple = ()
+
+    def _known(self, configurations: tuple) -> int:
+        i = self.ids.setdefault(configurations, len(self.states))
+        if i == len(self.states):
+            self.states.append(configurations)
+        return i
+
+    def _path(self, last: list[int], end: int) -> list[int]:
+        """The tokens up to a bound, read backwards from the last token there."""
+        out, size = [], self.size
+        while end > 0:
+            t, n = size[last[end - 1]]  # one object per token, so that memos stay small
+            out.append(t)
+            end -= n
+        out.reverse()
+        return out
+
+    def _agreed(self, last: list[int], state: int) -> int:
+        """The furthest bound that the paths of all live configurations have in common."""
+        starts = {len(last) - self.depth[n] for n in self.states[state][::2]}
+        while len(starts) > 1:
+            k = max(starts)
+            starts.discard(k)
+            starts.add(k - self.size[last[k - 1]][1])
+        return max(0, starts.pop())
 
 
 class Utf8:
@@ -205,45 +272,42 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.fine = regex.compile(pattern)
-        self.coarse = pattern == _KNOWN
+        self.known = pattern == _KNOWN
         self.memo: dict[str, tuple] = {}
-        self.heard: dict[tuple[bytes, int], tuple[bytes, str]] = {}
-
-    def _part(self, part: str) -> tuple:
-        """(number of tokens, ids joined by commas, ids) of a part between coarse bounds."""
-        pieces = [part] if self.coarse and _BLANK.fullmatch(part) else self.fine.findall(part)
-        ids = [t for p in pieces for t in self.machine.encode(p.encode("utf-8", "replace"))]
-        got = len(ids), ",".join(map(str, ids)), tuple(ids)
-        if len(part) <= _LONG:
+        #: UTF-8 state to {token: (next state's table, text)}
+        self.heard: dict[bytes, dict] = {b"": {}}
+
+    def _piece(self, piece: str) -> tuple:
+        """(ids joined by commas, ids) of a piece."""
+        ids = self.machine.encode(piece.encode("utf-8", "replace"))
+        got = ",".join(map(str, ids)), tuple(ids)
+        if len(piece) <= _LONG:
             if len(self.memo) >= _PIECES:
                 self.memo.clear()
-            self.memo[part] = got
+            self.memo[piece] = got
         return got
 
     def parts(self, text: str) -> Iterator[tuple]:
-        if not self.coarse:
-            yield self._part(text)
-            return
-        get = self.memo.get
-        for m in _COARSE.findall(text):
-            yield get(m) or self._part(m)
+        get, piece = self.memo.get, self._piece
+        pieces = _FAST if self.known and _ODD.isdisjoint(text) else self.fine
+        return (get(m) or piece(m) for m in pieces.findall(text))
 
     def encode(self, text: str) -> list[int]:
-        return [t for part in self.parts(text) for t in part[2]]
+        return [t for part in self.parts(text) for t in part[1]]
+
+    def _hear(self, table: dict, t: int) -> tuple:
+        held = next(k for k, v in self.heard.items() if v is table)
+        to, text = Utf8.feed(held, self.machine.bytes_of[t])
+        got = table[t] = self.heard.setdefault(to, {}), text
+        return got
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Streams the text of a token sequence."""
-        held, table, known = b"", self.machine.bytes_of, self.heard
+        start = table = self.heard[b""]
         for t in ids:
-            found = known.get((held, t))
-            if found is None:
-                found = Utf8.feed(held, table[t])
-                if len(known) >= 500_000:
-                    known.clear()
-                known[held, t] = found
-            held, text = found
+            table, text = table.get(t) or self._hear(table, t)
             yield text
-        if held:
+        if table is not start:
             yield "�"
 
 
@@ -257,51 +321,29 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _run(path: str, pattern: str):
+def _run(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
         for pdf in batches:
             ids_out, n, digest, back, size = [], [], [], [], []
             for text in pdf["text"]:
                 ids: list[int] = []
-                said = hashlib.sha256()
-                comma = False
-                for k, s, part in c.parts(text or ""):
-                    if k:
-                        said.update((("," + s) if comma else s).encode())
-                        ids.extend(part)
-                        comma = True
-                heard, length = hashlib.sha256(), 0
-                pending: list[str] = []
-                for s in c.decode(ids):
-                    pending.append(s)
-                    if len(pending) >= 4096:
-                        b = "".join(pending).encode("utf-8")
-                        heard.update(b)
-                        length += len(b)
-                        pending.clear()
-                b = "".join(pending).encode("utf-8")
-                heard.update(b)
+                said: list[str] = []
+                for s, part in c.parts(text or ""):
+                    said.append(s)
+                    ids += part
+                decoded = "".join(c.decode(ids)).encode("utf-8")
                 n.append(len(ids))
-                digest.append(said.hexdigest())
-                back.append(heard.hexdigest())
-                size.append(length + len(b))
-                ids_out.append(ids)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "ids": ids_out, "n_tokens": n, "ids_sha256": digest, "decoded_bytes": size, "decoded_sha256": back})
+                digest.append(hashlib.sha256(",".join(said).encode()).hexdigest())
+                back.append(hashlib.sha256(decoded).hexdigest())
+                size.append(len(decoded))
+                ids_out.append(ids if with_ids else None)
+            ids_col = {"ids": ids_out} if with_ids else {}
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), **ids_col, "n_tokens": n, "ids_sha256": digest, "decoded_bytes": size, "decoded_sha256": back})
 
     return run
 
 
-def _light(path: str, pattern: str):
-    run = _run(path, pattern)
-
-    def light(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in run(batches):
-            yield pdf.drop(columns="ids")
-
-    return light
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(id, ids, n_tokens, ids_sha256, decoded_bytes, decoded_sha256), one row per row of ``docs``.
 
@@ -314,8 +356,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     kind = src.schema["id"].dataType.simpleString()
     rest = "n_tokens long, ids_sha256 string, decoded_bytes long, decoded_sha256 string"
     if with_ids:
-        return src.mapInPandas(_run(path, pattern), f"id {kind}, ids array<int>, {rest}")
-    return src.mapInPandas(_light(path, pattern), f"id {kind}, {rest}")
+        return src.mapInPandas(_run(path, pattern, True), f"id {kind}, ids array<int>, {rest}")
+    return src.mapInPandas(_run(path, pattern, False), f"id {kind}, {rest}")
 
 
 def _decode(path: str, pattern: str):
