@@ -102,7 +102,7 @@ class Identifier:
 _BUILT: dict[int, Identifier] = {}
 
 
-def samples(docs: DataFrame, learn: Column, key: Column, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 80, chars_per_doc: int = 1000, most_langs: int = 200) -> dict[str, str]:
+def samples(docs: DataFrame, learn: Column, key: Column, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 50, chars_per_doc: int = 800, most_langs: int = 200) -> dict[str, str]:
     """The bounded labelled text of each language: the rows of least hash among those that ``learn`` allows."""
     spark = docs.sparkSession
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), key.cast("string").alias("key"))
