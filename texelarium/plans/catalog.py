@@ -1,11 +1,235 @@
-"""All queries of the texture engine and their SQL."""
+"""All queries of the texture engine and their SQL.
+
+The driver's tables stand in for images: embeddings are 4x4 RGBA images,
+events one luminance surface of width 100, lineitem a bulk of RGBA values.
+Outputs are integer codes, since transcendental doubles differ by an ulp
+between engines.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import pixel as P
+from ..operators import codecs, layout, mips
+from ..sources import containers
+from . import formats
+
+LANES = list(P.LANES)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _embed(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, y, x, r, g, b, a): sixteen texels per vector, lanes clamped to 0..1."""
+    v = _t(spark, d, "embeddings").filter("embedding IS NOT NULL")
+    lane = lambda k: P.clamp(F.element_at("embedding", F.col("i") * 4 + k + 1).cast("double") + 0.5)
+    px = v.select(F.col("vec_id").alias("image_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
+    return px.select("image_id", F.floor(F.col("i") / 4).cast("int").alias("y"), (F.col("i") % 4).alias("x"), *[lane(k).alias(c) for k, c in enumerate(LANES)])
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """(y, x, v): a surface of width 100, luminance 0..255."""
+    e = _t(spark, d, "events")
+    return e.select(F.floor(F.col("event_id") / 100).cast("int").alias("y"), (F.col("event_id") % 100).cast("int").alias("x"), P.store_unorm(F.col("value") / 500, 8).alias("v"))
+
+
+def _line(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "lineitem")
+    return e.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("r"), (F.col("l_discount") * 10).alias("g"), (F.col("l_tax") * 12.5).alias("b"), (F.lit(1.0) - F.col("l_discount")).alias("a"), "l_partkey", F.floor(F.col("l_quantity")).cast("long").alias("q"))
+
+
+_EMBED_SQL = """embed as (select vec_id as image_id, (i // 4)::int as y, (i % 4)::int as x, least(greatest(embedding[i*4+1]::double + 0.5, 0.0::double), 1.0::double) as r, least(greatest(embedding[i*4+2]::double + 0.5, 0.0::double), 1.0::double) as g,
+ least(greatest(embedding[i*4+3]::double + 0.5, 0.0::double), 1.0::double) as b, least(greatest(embedding[i*4+4]::double + 0.5, 0.0::double), 1.0::double) as a from embeddings, range(16) t(i) where embedding is not null)"""
+_EVENTS_SQL = "ev as (select (event_id // 100)::int as y, (event_id % 100)::int as x, floor(least(greatest(value / 500, 0.0::double), 1.0::double) * 255 + 0.5)::bigint as v from events)"
+_LINE_SQL = "line as (select l_orderkey, l_linenumber, l_quantity / 50 as r, l_discount * 10 as g, l_tax * 12.5::double as b, 1.0::double - l_discount as a, l_partkey, floor(l_quantity)::bigint as q from lineitem)"
+_KEY = ["l_orderkey", "l_linenumber"]
+_Q: dict = {}
+_S: dict[str, str] = {}
+
+
+def _add(name: str, run, sql: str | None = None) -> None:
+    _Q[name] = run
+    if sql:
+        _S[name] = sql
+
+
+def _per_line(name: str, cols, sql_cols: str) -> None:
+    """A query of scalar functions over the bulk rows."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _line(spark, d).select(*_KEY, *[c.alias(n) for n, c in cols().items()])
+
+    _add(name, run, f"with {_LINE_SQL} select l_orderkey, l_linenumber, {sql_cols} from line")
+
+
+def _r(x: Column) -> Column:
+    """A lane as an integer of millionths, so that engines agree."""
+    return P.half_away(x * 1_000_000)
+
+
+_c = lambda n: F.col(n)
+_cl = lambda e: f"least(greatest({e}, 0.0::double), 1.0::double)"
+_rs = lambda e: f"(case when {e} < 0 then -floor(-({e}) * 1000000 + 0.5) else floor(({e}) * 1000000 + 0.5) end)::bigint"
+_eotf = lambda e: f"(case when {_cl(e)} <= 0.04045::double then {_cl(e)} / 12.92::double else pow(({_cl(e)} + 0.055::double) / 1.055::double, 2.4::double) end)"
+_oetf = lambda e: f"(case when {_cl(e)} <= 0.0031308::double then {_cl(e)} * 12.92::double else pow({_cl(e)}, 1 / 2.4::double) * 1.055::double - 0.055::double end)"
+
+_code = lambda: (_c("l_partkey") % 256).cast("long")
+_code16 = lambda: (_c("l_partkey") * 37 % 65536).cast("long")
+_word = lambda: (_c("l_orderkey") * 2654435761 + _c("l_partkey") * 40503) % 4294967296
+_WORD = "((l_orderkey * 2654435761 + l_partkey * 40503) % 4294967296)"
+
+_per_line("decode_unorm8", lambda: {"v": _r(P.decode_unorm(_code(), 8))}, f"{_rs('(l_partkey % 256) / 255.0::double')} as v")
+_per_line("decode_snorm8", lambda: {"v": _r(P.decode_snorm(P.signed(_code(), 8), 8))}, f"{_rs('greatest((case when l_partkey % 256 >= 128 then l_partkey % 256 - 256 else l_partkey % 256 end) / 127.0::double, -1.0::double)')} as v")
+_per_line("decode_unorm16", lambda: {"v": _r(P.decode_unorm(_code16(), 16))}, f"{_rs('(l_partkey * 37 % 65536) / 65535.0::double')} as v")
+_per_line("decode_snorm16", lambda: {"v": _r(P.decode_snorm(P.signed(_code16(), 16), 16))}, f"{_rs('greatest((case when l_partkey * 37 % 65536 >= 32768 then l_partkey * 37 % 65536 - 65536 else l_partkey * 37 % 65536 end) / 32767.0::double, -1.0::double)')} as v")
+for _order, _low in (("a2b10g10r10", True), ("a2r10g10b10", False)):
+    _rr, _bb = (0, 20) if _low else (20, 0)
+    _f = {"r": f"(({_WORD} >> {_rr}) & 1023)", "g": f"(({_WORD} >> 10) & 1023)", "b": f"(({_WORD} >> {_bb}) & 1023)", "a": f"(({_WORD} >> 30) & 3)"}
+    _sg = {k: f"(case when {e} >= {512 if k != 'a' else 2} then {e} - {1024 if k != 'a' else 4} else {e} end)" for k, e in _f.items()}
+    _per_line(f"decode_{_order}_uint", lambda low=_low: P.a2_10_10_10(_word(), low), ", ".join(f"{e}::bigint as {k}" for k, e in _f.items()))
+    _per_line(f"decode_{_order}_sint", lambda low=_low: {k: P.signed(v, 2 if k == "a" else 10) for k, v in P.a2_10_10_10(_word(), low).items()}, ", ".join(f"{e}::bigint as {k}" for k, e in _sg.items()))
+    _per_line(f"decode_{_order}_unorm", lambda low=_low: {k: _r(P.decode_unorm(v, 2 if k == "a" else 10)) for k, v in P.a2_10_10_10(_word(), low).items()}, ", ".join(f"{_rs(f'{e} / {3 if k == chr(97) else 1023}.0::double')} as {k}" for k, e in _f.items()))
+    _per_line(f"decode_{_order}_snorm", lambda low=_low: {k: _r(P.decode_snorm(P.signed(v, 2 if k == "a" else 10), 2 if k == "a" else 10)) for k, v in P.a2_10_10_10(_word(), low).items()}, ", ".join(f"{_rs(f'greatest({e} / {1 if k == chr(97) else 511}.0::double, -1.0::double)')} as {k}" for k, e in _sg.items()))
+_per_line("decode_e5b9g9r9", lambda: {k: F.floor(v * 16777216).cast("long") for k, v in P.decode_e5b9g9r9(_word()).items()}, ", ".join(f"floor((({_WORD} >> {s}) & 511) * pow(2.0::double, ({_WORD} >> 27) - 24) * 16777216)::bigint as {k}" for k, s in (("r", 0), ("g", 9), ("b", 18))) + ", 16777216::bigint as a")
+_sf = lambda e, m: f"(case when ({e} >> {m}) = 0 then ({e} & {2**m - 1}) * pow(2.0::double, {-14 - m}) when ({e} >> {m}) = 31 then -1 else pow(2.0::double, ({e} >> {m}) - 15) * (({e} & {2**m - 1}) / {2**m}.0::double + 1) end)"
+_per_line("decode_b10g11r11", lambda: {k: F.when(F.isnan(v) | (v == float("inf")), F.lit(-1048576).cast("long")).otherwise(F.floor(F.when(F.isnan(v) | (v == float("inf")), 0.0).otherwise(v) * 1048576).cast("long")) for k, v in P.decode_b10g11r11(_word()).items() if k != "a"}, ", ".join(f"floor({_sf(f'(({_WORD} >> {s}) & {2**n - 1})', m)} * 1048576)::bigint as {k}" for k, s, n, m in (("r", 0, 11, 6), ("g", 11, 11, 6), ("b", 22, 10, 5))))
+_per_line("srgb_eotf_u16", lambda: {k: P.store_unorm(P.eotf(_c(k)), 16) for k in "rgb"}, ", ".join(f"floor({_eotf(k)} * 65535 + 0.5)::bigint as {k}" for k in "rgb"))
+_per_line("srgb_oetf_u8", lambda: {k: P.store_srgb8(_c(k)) for k in "rgb"}, ", ".join(f"round_even({_oetf(k)} * 255, 0)::bigint as {k}" for k in "rgb"))
+_per_line("premultiply", lambda: {k: _r(P.premultiply(_c(k), _c("a"))) for k in "rgb"}, ", ".join(f"{_rs(f'{k} * a')} as {k}" for k in "rgb"))
+_per_line("unpremultiply", lambda: {k: _r(P.unpremultiply(_c(k), _c("g"))) for k in "rb"}, ", ".join(f"{_rs(f'({k} / (case when g > 0 then g else 1.0::double end))')} as {k}" for k in "rb"))
+for _sw in ("bgra", "rgb1", "r000", "0r0g"):
+    _per_line(f"swizzle_{_sw}", lambda s=_sw: {k: _r(v) for k, v in P.swizzle({x: _c(x) for x in P.LANES}, s).items()}, ", ".join(f"{_rs({'0': '0.0::double', '1': '1.0::double'}.get(p, p))} as {to}" for to, p in zip("rgba", _sw)))
+_per_line("swizzle_integer_one", lambda: {k: P.store_sint(v, 8) for k, v in P.swizzle({x: _c("q") for x in P.LANES}, "rg01", integer=True).items()}, "q as r, q as g, 0::bigint as b, -1::bigint as a")
+_per_line("store_unorm8", lambda: {k: P.store_unorm(_c(k), 8) for k in "rgba"}, ", ".join(f"floor({_cl(k)} * 255 + 0.5)::bigint as {k}" for k in "rgba"))
+_per_line("store_unorm16", lambda: {k: P.store_unorm(_c(k), 16) for k in "rgba"}, ", ".join(f"floor({_cl(k)} * 65535 + 0.5)::bigint as {k}" for k in "rgba"))
+_sn = lambda e, m: f"(case when {e} < 0 then -floor(-least(greatest({e}, -1.0::double), 1.0::double) * {m} + 0.5) else floor(least(greatest({e}, -1.0::double), 1.0::double) * {m} + 0.5) end)::bigint"
+for _n, _m in ((8, 127), (16, 32767)):
+    _per_line(f"store_snorm{_n}", lambda n=_n: {k: P.store_snorm(_c(k) * 2 - 1, n) for k in "rgba"}, ", ".join(f"{_sn(f'({k} * 2 - 1)', _m)} as {k}" for k in "rgba"))
+_per_line("store_uint8_clamp", lambda: {"v": P.store_uint(_c("l_partkey"), 8)}, "least(l_partkey, 255)::bigint as v")
+_per_line("store_sint8_clamp", lambda: {"v": P.store_sint(_word(), 8)}, f"least(greatest(case when {_WORD} >= 2147483648 then {_WORD} - 4294967296 else {_WORD} end, -128), 127)::bigint as v")
+_per_line("pack_a2b10g10r10", lambda: {"w": P.pack_a2_10_10_10(*[P.store_unorm(_c(k), 2 if k == "a" else 10) for k in "rgba"])}, "(" + " + ".join(f"floor({_cl(k)} * {3 if k == 'a' else 1023} + 0.5)::bigint * {1 << s}" for k, s in (("r", 0), ("g", 10), ("b", 20), ("a", 30))) + ")::bigint as w")
+_E = "(case when greatest(r, g, b) < pow(2.0::double, -15) then 0 else floor(log2(greatest(r, g, b)))::int + 16 end)"
+_per_line("pack_e5b9g9r9", lambda: {"w": P.pack_e5b9g9r9(_c("r"), _c("g"), _c("b"))}, f"(select m.mr + m.mg * 512 + m.mb * 262144 + m.e2 * 134217728 from (select floor(r / pow(2.0::double, e2 - 24) + 0.5)::bigint as mr, floor(g / pow(2.0::double, e2 - 24) + 0.5)::bigint as mg, floor(b / pow(2.0::double, e2 - 24) + 0.5)::bigint as mb, e2 from (select case when floor(greatest(r, g, b) / pow(2.0::double, e - 24) + 0.5) >= 512 then e + 1 else e end as e2 from (select {_E}::bigint as e))) m)::bigint as w")
+
+# layout
+_add("crop_region", lambda s, d: layout.crop(_events(s, d), 10, 5, 40, 30), f"with {_EVENTS_SQL} select (y - 5)::int as y, (x - 10)::int as x, v from ev where x between 10 and 49 and y between 5 and 34")
+_add("rotate_180", lambda s, d: layout.rotate_180(layout.crop(_events(s, d), 0, 0, 100, 10), 100, 10), f"with {_EVENTS_SQL} select (9 - y)::int as y, (99 - x)::int as x, v from ev where y between 0 and 9")
+_add("split_strip", lambda s, d: layout.split_strip(_events(s, d), 10).select("layer", "y", "x", "v"), f"with {_EVENTS_SQL} select (x // 10)::int as layer, y, (x % 10)::int as x, v from ev where x < 60 and y < 10")
+
+
+def _faces(table, n: int, turned: bool) -> str:
+    cases = " ".join(f"when x // {n} = {i} and y // {n} = {j} then {k}" for k, (i, j) in enumerate(table))
+    flip = lambda c: f"(case when layer = 5 and {turned} then {n - 1} - {c} % {n} else {c} % {n} end)::int as {c}"
+    return f"with {_EVENTS_SQL}, f as (select *, (case {cases} end)::int as layer from ev) select layer, {flip('y')}, {flip('x')}, v from f where layer is not null"
+
+
+_add("split_cross_h", lambda s, d: layout.split_cross(_events(s, d), 3).select("layer", "y", "x", "v"), _faces(layout.HORIZONTAL, 3, False))
+_add("split_cross_v", lambda s, d: layout.split_cross(_events(s, d), 2, True).select("layer", "y", "x", "v"), _faces(layout.VERTICAL, 2, True))
+_TILE = "select (y2 // 4)::int as by, (x2 // 4)::int as bx, (y2 % 4)::int as ty, (x2 % 4)::int as tx, v from (select yy.i as y2, xx.i as x2, v from range({h4}) yy(i), range({w4}) xx(i), ev where ev.y = least(yy.i, {h1}) and ev.x = least(xx.i, {w1}))"
+_add("tile_blocks", lambda s, d: layout.tile(layout.crop(_events(s, d), 0, 0, 20, 8), 20, 8), f"with {_EVENTS_SQL} " + _TILE.format(h4=8, w4=20, h1=7, w1=19))
+_add("tile_blocks_clamped", lambda s, d: layout.tile(layout.crop(_events(s, d), 0, 0, 19, 9), 19, 9), f"with {_EVENTS_SQL} " + _TILE.format(h4=12, w4=20, h1=8, w1=18))
+for _name, _fn, _n, _col in (("assemble_array", layout.assemble_array, 3, "layer"), ("assemble_cubemap", layout.assemble_cubemap, 6, "layer"), ("assemble_volume", layout.assemble_volume, 4, "z")):
+    _add(_name, lambda s, d, f=_fn, n=_n: f([layout.crop(_events(s, d), 10 * k, 0, 10, 10) for k in range(n)]), f"with {_EVENTS_SQL} select (x // 10)::int as {_col}, y, (x % 10)::int as x, v from ev where x < {10 * _n} and y < 10")
+
+# mips and coverage
+_sum = lambda k: P.half_away(_c(k) * 1_000_000).alias(k)
+_lanes = ", ".join(f"floor({{f}}({k}) * 1000000 + 0.5)::bigint as {k}" for k in "rgba")
+_add("mip_box", lambda s, d: mips.box(_embed(s, d), ["image_id"], LANES).select("image_id", "y", "x", *[P.half_away(_c(k) * 1000).alias(k) for k in LANES]), f"with {_EMBED_SQL} select image_id, (y // 2)::int as y, (x // 2)::int as x, " + ", ".join(f"floor(avg({k}) * 1000 + 0.5)::bigint as {k}" for k in "rgba") + " from embed group by all")
+_add("mip_triangle", lambda s, d: mips.triangle(layout.crop(_events(s, d), 0, 0, 100, 10), [], ["v"], 100, 10).select("y", "x", F.floor(_c("v") * 1000 + 0.5).cast("long").alias("v")),
+     f"with {_EVENTS_SQL}, t(k, w) as (values (-1, 0.125::double), (0, 0.375::double), (1, 0.375::double), (2, 0.125::double)), o as (select yy.i as y, xx.i as x from range(5) yy(i), range(50) xx(i)) select o.y::int as y, o.x::int as x, floor(sum(v * a.w * b.w) / sum(a.w * b.w) * 1000 + 0.5)::bigint as v from o, t a, t b, ev where ev.y = 2 * o.y + a.k and ev.x = 2 * o.x + b.k and ev.y < 10 group by 1, 2")
+_add("mip_chain", lambda s, d: mips.chain(_embed(s, d), ["image_id"], ["r", "a"], 4, 4).select("image_id", "mip", "y", "x", *[F.floor(_c(k) * 1000 + 0.5).cast("long").alias(k) for k in "ra"]), f"with {_EMBED_SQL} select image_id, m::int as mip, (y >> m)::int as y, (x >> m)::int as x, floor(avg(r) * 1000 + 0.5)::bigint as r, floor(avg(a) * 1000 + 0.5)::bigint as a from embed, range(3) t(m) group by all")
+_add("mip_chain_dims", lambda s, d: _t(s, d, "part").select("p_partkey", F.length(F.bin(F.greatest(_c("p_size"), F.lit(1)).cast("long"))).cast("long").alias("levels")), "select p_partkey, (floor(log2(greatest(p_size, 1))) + 1)::bigint as levels from part")
+_add("coverage_share", lambda s, d: mips.coverage_share(_embed(s, d), ["image_id"], "a", 0.5), f"with {_EMBED_SQL} select image_id, avg(case when a >= 0.5 then 1.0::double else 0.0::double end) as share from embed group by 1")
+_add("coverage_histogram", lambda s, d: mips.coverage_histogram(_embed(s, d).withColumn("k", _c("image_id") % 4), ["k"], "a", 32), f"with {_EMBED_SQL}, h as (select image_id % 4 as k, least(floor(a * 32), 31)::int as bin, count(*) as n from embed group by 1, 2) select k, bin, n, (sum(n) over (partition by k order by bin desc))::bigint as passing from h")
+_add("coverage_scale", lambda s, d: _embed(s, d).select("image_id", "y", "x", P.half_away(mips.apply_scale(_c("a"), F.lit(1.5)) * 1_000_000).alias("a")), f"with {_EMBED_SQL} select image_id, y, x, floor(least(a * 1.5::double, 1.0::double) * 1000000 + 0.5)::bigint as a from embed")
+
+# blocks
+_add("block_endpoints", lambda s, d: _embed(s, d).groupBy("image_id").agg(*[F.min(P.store_srgb8(_c(k))).alias(f"{k}_min") for k in "rgb"], *[F.max(P.store_srgb8(_c(k))).alias(f"{k}_max") for k in "rgb"]), f"with {_EMBED_SQL} select image_id, " + ", ".join(f"{f}(round_even({_oetf(k)} * 255, 0)::bigint) as {k}_{f}" for f in ("min", "max") for k in "rgb") + " from embed group by 1")
+
+
+def _bc4(spark: SparkSession, d: str) -> DataFrame:
+    """BC4 blocks of the red lane: one combining aggregate collects the extremes and the sixteen codes of a block."""
+    px = _embed(spark, d).select("image_id", (F.col("y") * 4 + F.col("x")).alias("i"), P.store_unorm(F.col("r"), 8).alias("v"))
+    blk = px.groupBy("image_id").agg(F.max("v").alias("hi"), F.min("v").alias("lo"), F.collect_list(F.struct("i", "v")).alias("t"))
+    step = lambda t: F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.floor((F.col("hi") - t["v"]) * 7 / (F.col("hi") - F.col("lo")) + 0.5)).cast("long")
+    pick = lambda k: F.when(k == 0, 0).when(k == 7, 1).otherwise(k + 1).cast("long")
+    bits = F.aggregate("t", F.lit(0).cast("long"), lambda acc, t: acc + pick(step(t)) * F.pow(F.lit(8.0), t["i"].cast("double")).cast("long"))
+    return blk.select("image_id", "hi", "lo", bits.alias("selectors"))
+
+
+_add("bc4_encode", _bc4, f"with {_EMBED_SQL}, c as (select image_id, y * 4 + x as i, floor(r * 255 + 0.5)::bigint as v from embed), e as (select image_id, max(v) as hi, min(v) as lo from c group by 1), s as (select image_id, hi, lo, i, case when hi = lo then 0 else floor((hi - v) * 7 / (hi - lo)::double + 0.5)::bigint end as k from c join e using (image_id)) select image_id, hi, lo, sum((case k when 0 then 0 when 7 then 1 else k + 1 end) * (1::bigint << (3 * i)))::bigint as selectors from s group by 1, 2, 3")
+
+# metadata and validation
+_FORMATS_SQL = "f(vk_format, vk_value, family, channels, bytes_per_pixel, block_w, block_h, bytes_per_block, compressed) as (values " + ", ".join(f"('{r[0]}', {r[1]}::bigint, '{r[2]}', {r[3]}, {'null' if r[4] is None else r[4]}::int, {r[5]}, {r[6]}, {r[7]}, {str(r[8]).lower()})" for r in formats.rows()) + ")"
+
+
+def _lookup(spark: SparkSession, d: str) -> DataFrame:
+    asked = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 190).alias("vk_value"), F.col("p_size").alias("w"))
+    f = F.broadcast(formats.formats(spark))  # under 200 rows, a fixed table
+    row = F.ceil(F.col("w") / F.col("block_w")) * F.col("bytes_per_block")
+    return asked.join(f, "vk_value", "left").select("p_partkey", "vk_format", "family", "channels", row.cast("long").alias("row_bytes"), F.coalesce((F.col("vk_value").between(131, 184)), F.lit(False)).alias("compressed"))
+
+
+_add("format_lookup", _lookup, f"with {_FORMATS_SQL} select p_partkey, vk_format, family, channels, (ceil(p_size / block_w::double) * bytes_per_block)::bigint as row_bytes, p_partkey % 190 between 131 and 184 as compressed from part left join f on p_partkey % 190 = vk_value")
+_ENC_SQL = "e(encoder, priority, vk_format) as (values " + ", ".join(f"('{e}', {k + 1}, '{x}')" for k, (e, fs) in enumerate(formats.ENCODERS.items()) for x in fs) + ")"
+
+
+def _auto(spark: SparkSession, d: str) -> DataFrame:
+    best = formats.encoders(spark).groupBy("vk_format").agg(F.min_by("encoder", "priority").alias("encoder"), F.count("*").alias("n"))
+    return formats.formats(spark).filter("compressed").join(F.broadcast(best), "vk_format", "left").select("vk_format", "encoder", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+_add("auto_encoder", _auto, f"with {_FORMATS_SQL}, {_ENC_SQL} select f.vk_format, arg_min(encoder, priority) as encoder, count(encoder) as n from f left join e using (vk_format) where compressed group by 1")
+
+
+def _surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as one-row R8 surfaces whose declared width is n_chars."""
+    t = _t(spark, d, "documents")
+    return t.select(F.col("doc_id").alias("image_id"), F.col("n_chars").alias("width"), F.lit(1).alias("height"), F.octet_length("text").cast("long").alias("bytes"), (F.col("doc_id") % 3).alias("mip"), "lang", "source")
+
+
+_add("validate_layout", lambda s, d: _surfaces(s, d).filter((_c("width") < 1) | (_c("bytes") != _c("width"))).select("image_id", "width", "bytes"), "select doc_id as image_id, n_chars as width, strlen(text)::bigint as bytes from documents where n_chars < 1 or strlen(text) <> n_chars")
+_add("validate_mips", lambda s, d: _surfaces(s, d).groupBy("source").agg(F.countDistinct("mip").alias("mips"), F.max("mip").alias("top"), F.count("*").alias("n")).filter("mips <> top + 1 OR n % mips <> 0"), "select source, count(distinct doc_id % 3) as mips, max(doc_id % 3) as top, count(*) as n from documents group by 1 having mips <> top + 1 or n % mips <> 0")
+_add("shared_desc", lambda s, d: _surfaces(s, d).groupBy("source").agg(F.countDistinct("lang").alias("descs"), F.min_by("lang", "image_id").alias("first")), "select source, count(distinct lang) as descs, arg_min(lang, doc_id) as first from documents group by 1")
+
+
+# table functions over bytes
+def _roundtrip(container: str, scheme: str | None):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = _t(spark, d, "documents").filter(F.octet_length("text") > 0)
+        s = t.select(F.col("doc_id").alias("image_id"), F.lit("R8_UNORM").alias("vk_format"), F.lit(0).alias("layer"), F.lit(0).alias("mip"), F.octet_length("text").alias("width"), F.lit(1).alias("height"), F.col("text").cast("binary").alias("data"))
+        files = containers.write(s, container, scheme)
+        return containers.read(files).select("image_id", "width", "height", F.sha2("data", 256).alias("sha256"), "error")
+
+    return run
+
+
+_RT = "select doc_id as image_id, strlen(text)::int as width, 1::int as height, sha256(text) as sha256, null::varchar as error from documents where strlen(text) > 0"
+for _name, _k, _sch in (("container_ktx2_roundtrip", "ktx2", None), ("ktx2_zlib_roundtrip", "ktx2", "zlib"), ("ktx2_zstd_roundtrip", "ktx2", "zstd"), ("container_dds_roundtrip", "dds", None)):
+    _add(_name, _roundtrip(_k, _sch), _RT)
+
+
+def _encode(codec: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        ch = codecs.CODECS[codec][2]
+        one = F.to_binary(F.concat_ws("", F.transform(F.slice("embedding", 1, 16 * ch), lambda x: F.lpad(F.hex(P.store_unorm(x.cast("double") + 0.5, 8)), 2, "0"))), F.lit("hex"))
+        v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(0).alias("layer"), F.lit(0).alias("mip"), F.lit(4).alias("width"), F.lit(4).alias("height"), one.alias("data"))
+        return codecs.encode_surfaces(v, codec).select("image_id", F.hex("data").alias("block"))
+
+    return run
+
+
+for _codec in codecs.CODECS:
+    _add(f"{_codec}_blocks", _encode(_codec))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_S)
