@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = counted.join(groups, F.col("node") == F.col("g"), "left").select("id", "node", "m", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "named")
     best = named.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))).alias("best"), F.sum("m").alias("class_size"))
-    out = named.join(best, "component", "left").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    # a table of its own, so that the join is a plain one whose hot classes can be split
+    out = named.join(materialize(best, "best"), "component", "left").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     alone = F.col("component").isNull()
     chosen = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node")) & (F.col("i") == 1)
     return out.select("id", "node", F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.when(alone, F.lit(True)).otherwise(chosen).alias("kept"))
