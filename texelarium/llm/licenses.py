@@ -80,7 +80,7 @@ RULES = [
 GAP = 2
 # End of the fixed values.
 
-_END = re.compile(r"[.!?;:]+(?=[\s\"')\]]|$)|[\r\n]+")
+_END = re.compile(r"[.!?;]+(?=[\s\"')\]]|$)|[\r\n]+")
 _TOKEN = re.compile(r"[a-z0-9]+")
 _KNOWN = {s: k for k, v in SENTENCES.items() for s in v}
 _SHAPES = [(re.compile(p), k) for p, k in PATTERNS]
