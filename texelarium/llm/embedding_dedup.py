@@ -235,7 +235,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     whole = whole.select("node", "ball", F.coalesce("component", "ball").alias("component"), (F.col("ball_mult") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     rows = materialize(named.select("id", "node").join(whole, "node", "left"), "rows")
     least = rows.filter("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = rows.join(least, "component", "left")
+    # a table of its own, so that the join below is a plain one whose hot components can be split
+    out = rows.join(materialize(least, "least"), "component", "left")
     alone = F.col("component").isNull()
     name = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
     return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), name.alias("component_id"), F.coalesce(F.col("id") == name, F.lit(False)).alias("kept"), F.hex("ball").alias("ball"))
