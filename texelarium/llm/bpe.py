@@ -38,7 +38,7 @@ _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _ODD = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: The same pieces in the terms of ``re``, which is faster; it needs a text without numerals other than decimal digits.
 _FAST = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_STATES, _PIECES, _LONG = 250_000, 250_000, 256
+_STATES, _PIECES, _LONG = 200_000, 200_000, 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -68,7 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(texts: list, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of a batch whose texts have about ``most`` characters together (a longer text is alone)."""
     start = size = 0
     for i, t in enumerate(texts):

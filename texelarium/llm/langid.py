@@ -135,6 +135,7 @@ def identify(docs: DataFrame, learned: dict[str, str], keep: list[str], text_col
         for pdf in batches:
             got = [model.predict(t) for t in pdf["_text"]]
             yield pdf[names].assign(lang_pred=[x for x, _ in got], score=[float(s) for _, s in got])
+        _BUILT.clear()  # the worker may go on to another stage
 
     kinds = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in names)
     out = src.mapInPandas(run, f"{kinds}, lang_pred string, score double")

@@ -55,7 +55,7 @@ def _hash_slice(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, mix(h + (end - start).astype(_U) * _U(_GOLD))
 
 
-def word_hashes(buf: bytes, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: bytes, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """Start offset and hash of each word of a normalised buffer; works in slices that end between words."""
     a, at, starts, hashes = np.frombuffer(buf, np.uint8), 0, [], []
     while at < len(a):
