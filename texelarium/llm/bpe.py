@@ -26,10 +26,13 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
+
 #: White space of Unicode (the White_Space property), as a character class.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: The pattern that the faster one below equals; other patterns are applied as they are.
@@ -311,22 +314,17 @@ class Codec:
             yield "�"
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec a Python worker; its tables are kept between tasks."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    return resident(("bpe", path, pattern), lambda: Codec(load_ranks(path), pattern))
 
 
 def _run(path: str, pattern: str, with_ids: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for pdf in batches:
+        for batch in batches:
             ids_out, n, digest, back, size = [], [], [], [], []
-            for text in pdf["text"]:
+            for text in (t.as_py() for t in batch.column("text")):
                 ids: list[int] = []
                 said: list[str] = []
                 for s, part in c.parts(text or ""):
@@ -337,9 +335,11 @@ def _run(path: str, pattern: str, with_ids: bool):
                 digest.append(hashlib.sha256(",".join(said).encode()).hexdigest())
                 back.append(hashlib.sha256(decoded).hexdigest())
                 size.append(len(decoded))
-                ids_out.append(ids if with_ids else None)
-            ids_col = {"ids": ids_out} if with_ids else {}
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), **ids_col, "n_tokens": n, "ids_sha256": digest, "decoded_bytes": size, "decoded_sha256": back})
+                if with_ids:
+                    ids_out.append(ids)
+            ids_col = {"ids": pa.array(ids_out, pa.list_(pa.int32()))} if with_ids else {}
+            cols = {"id": batch.column("id"), **ids_col, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(digest, pa.string()), "decoded_bytes": pa.array(size, pa.int64()), "decoded_sha256": pa.array(back, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
@@ -355,9 +355,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     rest = "n_tokens long, ids_sha256 string, decoded_bytes long, decoded_sha256 string"
-    if with_ids:
-        return src.mapInPandas(_run(path, pattern, True), f"id {kind}, ids array<int>, {rest}")
-    return src.mapInPandas(_run(path, pattern, False), f"id {kind}, {rest}")
+    ids = "ids array<int>, " if with_ids else ""
+    return src.mapInArrow(_run(path, pattern, with_ids), f"id {kind}, {ids}{rest}")
 
 
 def _decode(path: str, pattern: str):

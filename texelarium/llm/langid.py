@@ -23,10 +23,13 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .common import resident
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -99,9 +102,6 @@ class Identifier:
         return lang, b / (a + b)
 
 
-_BUILT: dict[int, Identifier] = {}
-
-
 def samples(docs: DataFrame, learn: Column, key: Column, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 50, chars_per_doc: int = 800, most_langs: int = 200) -> dict[str, str]:
     """The bounded labelled text of each language: the rows of least hash among those that ``learn`` allows."""
     spark = docs.sparkSession
@@ -125,18 +125,19 @@ def identify(docs: DataFrame, learned: dict[str, str], keep: list[str], text_col
     b = docs.sparkSession.sparkContext.broadcast(learned)
     tag = hash(frozenset(learned.items()))
     names = [f"_{i}" for i in range(len(keep))]
-    src = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("_text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if tag not in _BUILT:
-            _BUILT.clear()
-            _BUILT[tag] = Identifier(b.value)
-        model = _BUILT[tag]
-        for pdf in batches:
-            got = [model.predict(t) for t in pdf["_text"]]
-            yield pdf[names].assign(lang_pred=[x for x, _ in got], score=[float(s) for _, s in got])
-        _BUILT.clear()  # the worker may go on to another stage
-
-    kinds = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in names)
-    out = src.mapInPandas(run, f"{kinds}, lang_pred string, score double")
+    kept = [F.col(c).alias(n) for c, n in zip(keep, names)]
+    plain = text_col in keep and isinstance(docs.schema[text_col].dataType, StringType)
+    text = names[keep.index(text_col)] if plain else "_text"
+    src = docs.select(*kept, *([] if plain else [F.col(text_col).cast("string").alias("_text")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = resident(("langid", tag), lambda: Identifier(b.value))
+        for batch in batches:
+            # kept columns pass through as they are; only one text at a time becomes a Python string
+            got = [model.predict(t.as_py()) for t in batch.column(text)]
+            preds = [pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *preds], names=[*names, "lang_pred", "score"])
+
+    kinds = "".join(f"{n} {src.schema[n].dataType.simpleString()}, " for n in names)
+    out = src.mapInArrow(run, f"{kinds}lang_pred string, score double")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("lang_pred").alias(lang_to), F.col("score").alias(score_to))
