@@ -120,6 +120,25 @@ def test_near_duplicates_brute_force(spark, data, duck):
     assert {r["doc_id"]: r["class_id"] for r in got} == _classes(ids, links)
 
 
+@pytest.mark.parametrize("copies", [200, 1000])
+def test_near_duplicates_star(spark, copies):
+    """One original with independently edited copies: each is near to it, none to another."""
+    rng = random.Random(copies)
+    base = [f"w{i}" for i in range(500)]
+    texts = [base]
+    for k in range(copies):
+        words = list(base)
+        for at in rng.sample(range(5, 495), 9):
+            words[at] = f"x{k}at{at}"
+        texts.append(words)
+    docs = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    sets = [set(shingles.shingle_set(t)[0].tolist()) for _, t in docs]
+    links = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) < 1.2 * copies
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["id"]: r["class_id"] for r in got} == _classes(range(len(sets)), links)
+
+
 def test_shingles_are_those_of_words():
     texts = ["The cat, sat on THE mat today", "a b", "", "é è ê ë ē x", "x " * 300_000]
     for t in texts:

@@ -12,10 +12,12 @@ Plan: (1) one pass makes per row a 128-bit digest of its words and its band
 keys; (2) rows with equal words collapse to one node by an aggregate that
 combines before the shuffle, so groups of copies never meet in one task;
 (3) in every bucket of a band the nodes are compared with one centre that
-differs by band, never with each other; members that the centre does not match
-go on to a next round with a new centre; (4) candidate pairs are verified on the
+differs by band; members that the centre does not match go on to a next round
+with a new centre, for ``rounds`` rounds; (4) candidate pairs are verified on the
 whole texts with exact shingle sets; (5) connected components of the verified
-links. Texts travel only for nodes that share a bucket.
+links; (6) in every bucket that still holds more than one component, all pairs of
+different components are verified in blocks, so each pair that shares a bucket is
+verified or connected. Texts travel only for nodes that share a bucket.
 
 Defined cases: null and empty texts and texts without words have no shingles and
 link with nothing (each is its own class). Rows with equal words are one class.
@@ -32,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import cross_links
 from .common import materialize, slices
 from .components import connected_components
 from .shingles import digest, mix, normalise, shingle_hashes, shingle_set
@@ -138,7 +141,47 @@ def _verify(width: int, threshold: float, weights: str):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4, rounds: int = 4, weights: str = "unit") -> DataFrame:
+def _sets(width: int, weights: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts, nodes = pdf["text"].tolist(), pdf["node"].tolist()
+            for i, j in slices(texts):
+                own = [shingle_set(t, width) for t in texts[i:j]]
+                yield pd.DataFrame({"node": nodes[i:j], "value": [(np.repeat(h, n) if weights == "count" else h).view(np.int64) for h, n in own]})
+
+    return run
+
+
+def _alike(threshold: float, weights: str, step: int = 1 << 14):
+    """Which pairs of shingle sets reach the threshold, from exact counts of their common shingles."""
+
+    def common(x: list, y: list) -> np.ndarray:
+        size = np.array([len(v) for v in (*x, *y)])
+        _, col, n = np.unique(np.concatenate((*x, *y)), return_inverse=True, return_counts=True)
+        shared = n[col] > 1
+        doc, col = np.repeat(np.arange(len(size)), size)[shared], (np.cumsum(n > 1) - 1)[col[shared]]
+        order = np.argsort(col, kind="stable")
+        doc, col = doc[order], col[order]
+        out = np.zeros((len(x), len(y)))
+        for s in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+            lo, hi = np.searchsorted(col, (s, s + step))
+            m = np.zeros((len(size), step), np.float32)
+            m[doc[lo:hi], col[lo:hi] - s] = 1
+            out += m[: len(x)] @ m[len(x) :].T
+        return out
+
+    def hits(x: list, y: list) -> np.ndarray:
+        if weights == "count":
+            a, b = ([np.unique(v, return_counts=True) for v in side] for side in (x, y))
+            return np.array([[probability_jaccard(u, v) >= threshold for v in b] for u in a])
+        n = common(x, y)
+        total = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
+        return n / np.maximum(1, total - n) >= threshold
+
+    return hits
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4, rounds: int = 4, weights: str = "unit", block: int = 128) -> DataFrame:
     """Classes of near-duplicate rows.
 
     Returns one row per row of ``docs``: (id, node binary, class_id, class_size,
@@ -159,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("node").distinct()
     texts = src.filter(F.col("text").isNotNull()).select("text").mapInPandas(_with_node, "node binary, text string").join(wanted, "node").groupBy("node").agg(F.min("text").alias("text"))
     texts = materialize(texts, "texts")
-    links, tried = None, None
+    whole, links, tried = members, None, None
     for k in range(rounds):
         rank = F.struct(F.xxhash64("node", "band", F.lit(k)).alias("h"), F.col("node"))
         centre = members.groupBy("band", "key").agg(F.min(rank)["node"].alias("c"), F.count("*").alias("n")).filter("n > 1")
@@ -180,7 +223,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if left.isEmpty():
             break
         members = left
-    groups = connected_components(links, "a", "b").withColumnRenamed("node", "g")
+    groups = materialize(connected_components(links, "a", "b"), "groups")
+    # the only pair of a bucket of two has met already
+    more = whole.groupBy("band", "key").count().filter("count > 2").select("band", "key")
+    parts = whole.join(more, ["band", "key"]).join(groups, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("part"))
+    across = cross_links(parts, ["band", "key"], texts.mapInPandas(_sets(width, weights), "node binary, value array<long>"), _alike(threshold, weights), block)
+    if not across.isEmpty():
+        # a part without links so far is a node of its own
+        over = materialize(connected_components(across, "a", "b"), "over").select(F.col("node").alias("component"), F.col("component").alias("top"))
+        known = groups.unionByName(over.select(F.col("component").alias("node"), "component").join(groups.select("node"), "node", "left_anti"))
+        groups = known.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    groups = groups.withColumnRenamed("node", "g")
     # repeated rows are counted before they are joined, and unfolded at the end
     counted = signed.groupBy("id", "node").agg(F.count("*").alias("m"))
     # without words there is no class but the row itself
