@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import defaultdict
 from pathlib import Path
 
@@ -196,6 +197,51 @@ def test_licence_rules():
     assert licenses.match([(0, "mit.grant"), (9, "mit.include")]) == []
 
 
+MIT = """Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD3 = BSD2 + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+CC0 = "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."
+CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+FULL = {
+    "mit": (MIT, "MIT", "r2"), "bsd2": (BSD2, "BSD-2-Clause", "r5"), "bsd3": (BSD3, "BSD-3-Clause", "r4"), "apache": (APACHE, "Apache-2.0", "r0"), "gpl": (GPL, "GPL-3.0-or-later", "r6"), "mpl": (MPL, "MPL-2.0", "r8"), "isc": (ISC, "ISC", "r10"), "cc0": (CC0, "CC0-1.0", "r18"),
+    "gpl-only": ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only", "r13"), "unlicense": ("This is free and unencumbered software released into the public domain.", "Unlicense", "r14"),
+    "by": (CC.format("Attribution"), "CC-BY-4.0", "r15"), "by-sa": (CC.format("Attribution-ShareAlike"), "CC-BY-SA-4.0", "r16"), "by-nc": (CC.format("Attribution-NonCommercial"), "CC-BY-NC-4.0", "r17"), "reserved": ("All rights reserved.", "LicenseRef-all-rights-reserved", "r20"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FULL))
+@pytest.mark.parametrize("sign", ["", "# ", " * "])
+@pytest.mark.parametrize("width", [40, 72, 78, 10_000])
+def test_wrapped_licences(name, sign, width):
+    text, licence, rule = FULL[name]
+    lines = [x for p in text.split("\n\n") for x in [*textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False), ""]]
+    for end in ("\n", "\r\n"):
+        whole = "Some words before.\n" + end.join(sign + x for x in lines) + end
+        assert [x[:2] for x in licenses.scan_text(whole)[1]] == [(licence, rule)]
+
+
 def test_toxicity_separates(spark, data, duck):
     labels = defaultdict(int)
     for i, t in duck.execute("select doc_id, toxic from labels").fetchall():

@@ -7,6 +7,11 @@ rules in their order of precedence. A rule is an ordered sequence of identifiers
 between two of them at most ``GAP`` unknown sentences may stand. Longer sequences
 come first, then the rule's place in the list, and a sentence serves one match.
 
+Line breaks and end marks cut a text into pieces. Pieces in a row whose words
+together are a known sentence count as that one sentence, so hard-wrapped texts,
+commented headers and marks within a sentence ("v. 2.0") are known too. Pieces
+without a letter or digit (comment signs, rules) are no sentences for ``GAP``.
+
 Sentences with a variable part (SPDX tags, copyright years) are known by pattern.
 Defined cases: null and empty texts have no sentences and no licence; rows are
 scanned as they come, so repeated rows and null ids are kept; other columns are
@@ -76,6 +81,7 @@ RULES = [
     ("CC-BY-NC-4.0", ("cc-by-nc-4.0.notice",)),
     ("CC0-1.0", ("cc0-1.0.notice",)),
     ("LicenseRef-all-rights-reserved", ("copyright", "reserved")),
+    ("LicenseRef-all-rights-reserved", ("reserved",)),
 ]
 GAP = 2
 # End of the fixed values.
@@ -89,6 +95,20 @@ _FIRST = {s.split(" ", 1)[0] for s in _KNOWN} | {"spdx", "copyright"}
 _ORDER = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i][1]), i))
 
 
+def _trie() -> dict:
+    """Known sentences by their words; the key None holds the identifier of a whole one."""
+    root: dict = {}
+    for s, k in _KNOWN.items():
+        at = root
+        for w in s.split(" "):
+            at = at.setdefault(w, {})
+        at[None] = k
+    return root
+
+
+_TRIE = _trie()
+
+
 def sentences(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, sentence) in characters. A line of wrapped licence text joins the next by its lack of an end mark only if it ends in a hyphen or comma."""
     at = 0
@@ -102,8 +122,7 @@ def sentences(text: str) -> Iterator[tuple[int, int, str]]:
         yield at, len(text), text[at:]
 
 
-def identify(sentence: str) -> str | None:
-    words = _TOKEN.findall(sentence.lower())
+def identify(words: list[str]) -> str | None:
     if not words or words[0] not in _FIRST:
         return None
     norm = " ".join(words)
@@ -115,6 +134,21 @@ def identify(sentence: str) -> str | None:
     return found
 
 
+def joined(words: list[list[str]], i: int) -> tuple[int, str | None]:
+    """(end, identifier) of the longest run of pieces from ``i`` that makes a known sentence; that of the piece alone if none does."""
+    at, found = _TRIE, (i + 1, identify(words[i]))
+    if not words[i] or words[i][0] not in _TRIE:
+        return found
+    for j in range(i, len(words)):
+        for w in words[j]:
+            at = at.get(w)
+            if at is None:
+                return found
+        if words[j] and None in at:
+            found = j + 1, at[None]
+    return found
+
+
 def match(seq: list[tuple[int, str]]) -> list[tuple[str, str, list[int]]]:
     """(licence, rule, sentence numbers) of a sequence of (sentence number, identifier), by rule order."""
     used: set[int] = set()
@@ -146,13 +180,18 @@ def scan_text(text: str | None) -> tuple[int, list[tuple[str, str, int, int]]]:
     """(number of sentences, [(licence, rule, start, end)])."""
     if not text:
         return 0, []
-    n, seq, spans = 0, [], {}
-    for start, end, s in sentences(text):
-        k = identify(s)
+    pieces = list(sentences(text))
+    words = [_TOKEN.findall(s.lower()) for _, _, s in pieces]
+    n, i, place, seq, spans = 0, 0, 0, [], {}
+    while i < len(pieces):
+        end, k = joined(words, i)
         if k:
-            seq.append((n, k))
-            spans[n] = start, end
+            seq.append((place, k))
+            spans[place] = pieces[i][0], pieces[end - 1][1]
+        if words[i] or any(map(str.isalnum, pieces[i][2])):
+            place += 1
         n += 1
+        i = end
     return n, [(name, rule, spans[at[0]][0], spans[at[-1]][1]) for name, rule, at in match(seq)]
 
 
