@@ -197,6 +197,25 @@ def test_licence_rules():
     assert licenses.match([(0, "mit.grant"), (9, "mit.include")]) == []
 
 
+@pytest.mark.parametrize("mutual", [0.5, 0.8, 0.95])
+def test_vectors_clustered(spark, tmp_path, mutual):
+    """Pairs at cosine 0.983 among the vectors of one dense topic."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    own = unit(rng.standard_normal((5500, 64)))
+    c = (0.983 - mutual) / (1 - mutual)
+    side = rng.standard_normal((500, 64))
+    side = unit(side - (side * own[:500]).sum(1, keepdims=True) * own[:500])
+    own = np.vstack([own, c * own[:500] + np.sqrt(1 - c * c) * side])
+    x = (np.sqrt(mutual) * unit(rng.standard_normal((1, 64))) + np.sqrt(1 - mutual) * own).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = unit(x.astype(float))
+    hit = x @ x.T >= 0.98
+    np.fill_diagonal(hit, False)
+    got = sum(r["n_links"] for r in QUERIES["op2_embedding_dedup"](spark, str(tmp_path)).collect())
+    assert hit.sum() > 800 and 0.995 * hit.sum() <= got <= hit.sum()
+
+
 MIT = """Copyright (c) 2020 A Person
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:

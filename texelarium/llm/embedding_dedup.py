@@ -3,7 +3,11 @@
 Each pass gives a vector 64 sign bits of random projections (concatenated random
 hashes), orders the vectors of a label lexicographically by them, compares every
 vector with its next ``window`` neighbours in double precision, and the verified
-pairs of all passes are united. Range partitioning by (label, pass, code, node)
+pairs of all passes are united. Where vectors of a label lie dense, more than
+``window`` of them share the leading bits of a pass; in such crowded cells all
+pairs of different components are compared in blocks, or in the whole label once
+where that is less work. So whether a pair is compared depends on its own angle
+only, not on the vectors around it. Range partitioning by (label, pass, code, node)
 spreads equal codes too, so no label or code is one task's; a window ends at a
 partition's bound, which other passes make up for (the measured recall counts it).
 
@@ -36,6 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import cross_links
 from .common import materialize
 from .components import connected_components
 
@@ -59,7 +64,7 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(node=out)
 
 
-def _codes(passes: int, seed: int):
+def _codes(passes: int, seed: int, carry: bool = True):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
         for pdf in batches:
@@ -72,7 +77,8 @@ def _codes(passes: int, seed: int):
                 code = np.packbits(bits, axis=2).view(">u8")[:, :, 0].astype(np.uint64)
                 code = (code ^ np.uint64(1 << 63)).view(np.int64)  # signed order is bit order
                 for p in range(passes):
-                    yield pd.DataFrame({"label": part["label"], "dim": np.full(len(part), d, np.int32), "pass": np.full(len(part), p, np.int32), "code": code[:, p], "node": part["node"], "vec": part["vec"]})
+                    out = pd.DataFrame({"label": part["label"], "dim": np.full(len(part), d, np.int32), "pass": np.full(len(part), p, np.int32), "code": code[:, p], "node": part["node"]})
+                    yield out.assign(vec=part["vec"]) if carry else out
 
     return run
 
@@ -171,6 +177,31 @@ def _between(threshold: float):
     return run
 
 
+def _linked(threshold: float):
+    def unit(v: list) -> np.ndarray:
+        x = np.array(v, dtype=np.float64)
+        return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+    return lambda x, y: unit(x) @ unit(y).T >= threshold
+
+
+def cell_bits(rows: int, window: int) -> int:
+    """Leading bits that at most about half a window of ``rows`` spread vectors share."""
+    return min(63, max(1, math.ceil(math.log2(max(2.0, rows / window))) + 1))
+
+
+def crowded(codes: DataFrame, window: int) -> DataFrame:
+    """(label, dim, pass, cell, node) of the cells with more members than a window spans; of a label as one cell where its crowded cells hold more pairs than it has."""
+    cell, whole = ["label", "dim", "pass", "cell"], ["label", "dim"]
+    full = materialize(codes.groupBy(*cell).count().filter(F.col("count") > window + 1), "crowded")
+    size = codes.filter(F.col("pass") == 0).groupBy(*whole).agg(F.count("*").alias("n"))
+    load = full.groupBy(*whole).agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("load")).join(size, whole)
+    all_of = load.filter(F.col("load") > F.col("n").cast("double") * F.col("n")).select(*whole)
+    by_cell = codes.join(full.select(*cell), cell).join(all_of, whole, "left_anti").select(*cell, "node")
+    at_once = codes.filter(F.col("pass") == 0).join(all_of, whole).select(*whole, F.lit(-1).alias("pass"), F.lit(0).cast("long").alias("cell"), "node")
+    return by_cell.unionByName(at_once)
+
+
 def passes_for(rows: int, window: int, threshold: float, missed: float = 1e-3) -> int:
     """Passes until a pair right at the threshold is missed with probability ``missed``.
 
@@ -181,7 +212,7 @@ def passes_for(rows: int, window: int, threshold: float, missed: float = 1e-3) -
     return max(4, math.ceil(math.log(missed) / math.log(1 - min(agree, 0.999))))
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, window: int = 32, passes: int | None = None, seed: int = 7, block: int = 256, most_hops: int = 8) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, window: int = 32, passes: int | None = None, seed: int = 7, block: int = 256, most_hops: int = 8, cell_block: int = 2048) -> DataFrame:
     """One row per row: (id, n_links, component_id, kept, ball)."""
     half = math.cos(math.acos(threshold) / 2) + 1e-9
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("vec"))
@@ -189,9 +220,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     named = materialize(src.mapInPandas(_nodes, f"id long, label long, vec {kind}, node binary"), "vectors")
     nodes = named.filter("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("mult"))
     nodes = materialize(nodes, "nodes")
+    most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    bits = cell_bits(most, window)
     if passes is None:
-        most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-        passes = passes_for(most, window, threshold)
+        passes = passes_for(window << bits, window, threshold)
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["label", "dim", "pass", "code", "node"]
@@ -217,6 +249,13 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     sizes = balls.groupBy("ball").agg(F.sum("mult").alias("ball_mult"), F.count("*").alias("members"))
     groups = connected_components(pairs, "a", "b").select(F.col("node").alias("ball"), "component")
     groups = materialize(groups, "groups")
+    codes = nodes.select("label", "node", "vec").mapInPandas(_codes(passes, seed, False), "label long, dim int, pass int, code long, node binary")
+    codes = materialize(codes.select("label", "dim", "pass", F.shiftright("code", 64 - bits).alias("cell"), "node"), "codes")
+    known = balls.join(groups, "ball", "left").select("node", F.coalesce("component", "ball").alias("part"))
+    across = cross_links(crowded(codes, window).join(known, "node"), ["label", "dim", "pass", "cell"], vecs.withColumnRenamed("vec", "value"), _linked(threshold), cell_block)
+    if not across.isEmpty():
+        groups = connected_components(pairs.unionByName(across), "a", "b").select(F.col("node").alias("ball"), "component")
+        groups = materialize(groups, "groups")
     # blocks: a large ball has its own, small balls of a component share some; spread by hash, so no group is one task's
     member = balls.join(groups, "ball").join(sizes.select("ball", "members"), "ball")
     small = F.col("members") < block // 2
