@@ -33,10 +33,13 @@ def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without an identifiable language: null text or no letter."""
+    """Drops documents without an identifiable language: null text or no letter, also where no language could be learned."""
     learned = langid.samples(docs, fold("doc_id", 5) != 0, F.col("doc_id"))
+    if not any(t.strip() for t in learned.values()):  # no language to tell apart, so no reason to drop a text with a letter
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     out = langid.identify(docs, learned, docs.columns, lang_to="__lang", score_to="__score")
-    return out.filter("__lang <> 'und'").select(*docs.columns)
+    # only what has no language scores 0; a label may be called 'und' too
+    return out.filter("__score > 0").select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

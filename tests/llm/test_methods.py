@@ -270,6 +270,16 @@ def test_toxicity_separates(spark, data, duck):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+@pytest.mark.parametrize("lang", [None, "und", "en"])
+def test_language_stage_keeps_texts_with_letters(spark, lang):
+    rows = [(k, "some plain words é", lang, "s", 18) for k in range(20)] + [(20, "123 !!", lang, "s", 6), (21, None, lang, "s", 0), (22, "", lang, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == set(range(20))
+    only = docs.filter("doc_id >= 20 or crc32(cast(doc_id as string)) % 5 = 0")  # no row to learn from has a letter
+    kept = {r["doc_id"] for r in only.filter("doc_id < 20").collect()}
+    assert kept and {r["doc_id"] for r in corpus_pipeline.language_id(spark, only, "").collect()} == kept
+
+
 def test_pipeline_brute_force(spark, data, duck, encoding):
     """run() against the stages done plainly in Python, but for the mix, which SQL checks; here its totals are held."""
     docs = {i: t for i, t in duck.execute("select doc_id, text from documents").fetchall() if t and any(map(str.isalpha, t))}
