@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _jobs(hits: Callable[[list, list], np.ndarray]):
@@ -32,6 +32,7 @@ def _jobs(hits: Callable[[list, list], np.ndarray]):
         return {(min(names[u], names[v]), max(names[u], names[v])) for u, v in np.unique(np.stack((a, b), 1), axis=0)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         held: pd.DataFrame | None = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -56,11 +57,15 @@ def cross_links(members: DataFrame, keys: list[str], values: DataFrame, hits: Ca
     ``hits`` tells from two lists of values which of their pairs are linked.
     """
     mixed = members.groupBy(*keys).agg((F.min("part") != F.max("part")).alias("mixed")).filter("mixed").select(*keys)
+    mixed = materialize(mixed, "keys")
     members = materialize(members.join(mixed, keys), "mixed")
     small = F.col("n") < block // 2
     sizes = members.groupBy(*keys, "part").agg(F.count("*").alias("n"))
     sizes = sizes.select(*keys, "part", small.alias("small"), "n", F.when(small, F.lit(b"")).otherwise(F.col("part")).alias("own"))
+    # tables of their own, so that the joins are plain ones whose hot buckets can be split
+    sizes = materialize(sizes, "sizes")
     fill = sizes.groupBy(*keys, "own").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
+    fill = materialize(fill, "fill")
     k = F.pmod(F.xxhash64(F.when(F.col("small"), F.col("part")).otherwise(F.col("node"))), F.col("blocks"))
     placed = members.join(sizes, [*keys, "part"]).join(fill, [*keys, "own"]).select(*keys, "own", F.xxhash64("own", k).alias("i"), "node", "part")
     placed = materialize(placed, "placed")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +33,35 @@ def resident(key: Hashable, build: Callable[[], Any]) -> Any:
     before this one is built: a worker never holds two.
     """
     if key not in _RESIDENT:
-        _RESIDENT.clear()
-        gc.collect()
+        release()
         _RESIDENT[key] = build()
     return _RESIDENT[key]
 
 
+def release() -> None:
+    """Drops the model that this Python worker still holds from an earlier stage and gives its memory back."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder is set as the checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    Spark runs in one local process, as in tests, a temporary folder is set as the
+    checkpoint folder; on a cluster, whose machines would each write to their own
+    disk, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="texelarium-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -64,9 +82,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._texelarium_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written, so that the tables it wrote on the way can be deleted."""
+
+    @functools.wraps(f)
+    def run(*args: Any, **options: Any) -> DataFrame:
+        _SCRATCH.append([])
+        try:
+            out = f(*args, **options)
+            own, _SCRATCH[-1] = _SCRATCH[-1], []
+            done = materialize(out, f.__name__)
+        finally:
+            _SCRATCH.pop()
+        for df in own:
+            discard(df)
+        if _SCRATCH:
+            _SCRATCH[-1].append(done)
+        return done
+
+    return run
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialize`` wrote and no plan needs any more."""
     path = getattr(df, "_texelarium_path", None)
@@ -86,14 +130,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch whose texts have about ``most`` characters together (a longer text is alone)."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > most:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(start, end, texts) of runs of an Arrow column with about ``most`` bytes together (a longer text is alone)."""
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    start = total = 0
+    for i, n in enumerate(size):
+        if i > start and total + n > most:
+            yield start, i, column.slice(start, i - start).to_pylist()
+            start, total = i, 0
+        total += int(n)
+    if start < len(size):
+        yield start, len(size), column.slice(start).to_pylist()

@@ -4,9 +4,10 @@ Every distinct shingle of a text (five words) with weight w is a Poisson process
 of rate w whose points fall on k registers; a register keeps the shingle that
 arrives first. Generation stops for a shingle once its next point is later than
 the latest first arrival (early termination). Two texts agree on a register with
-the probability Jaccard similarity of their weighted shingles; with unit weights
-(the production setting, since the contract's similarity is that of shingle
-sets) this is the Jaccard similarity, with ``weights="count"`` repeats weigh.
+the probability Jaccard similarity of their weighted shingles. A shingle's weight
+is its number of occurrences (the production setting), or one with
+``weights="unit"``; texts that repeat no shingle have the Jaccard similarity of
+their shingle sets either way.
 
 Plan: (1) one pass makes per row a 128-bit digest of its words and its band
 keys; (2) rows with equal words collapse to one node by an aggregate that
@@ -14,10 +15,12 @@ combines before the shuffle, so groups of copies never meet in one task;
 (3) in every bucket of a band the nodes are compared with one centre that
 differs by band; members that the centre does not match go on to a next round
 with a new centre, for ``rounds`` rounds; (4) candidate pairs are verified on the
-whole texts with exact shingle sets; (5) connected components of the verified
+shingles of the whole texts, exactly; (5) connected components of the verified
 links; (6) in every bucket that still holds more than one component, all pairs of
 different components are verified in blocks, so each pair that shares a bucket is
-verified or connected. Texts travel only for nodes that share a bucket.
+verified or connected. Shingles are written once a node, only for nodes that
+share a bucket; centres, components and shingles are tables of their own, so
+every join is a plain one whose hot keys adaptive execution can split.
 
 Defined cases: null and empty texts and texts without words have no shingles and
 link with nothing (each is its own class). Rows with equal words are one class.
@@ -30,12 +33,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cross_links
-from .common import materialize, slices
+from .common import materialize, release, text_slices, tidy
 from .components import connected_components
 from .shingles import digest, mix, normalise, shingle_hashes, shingle_set
 
@@ -102,58 +105,74 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sign(width: int, bands: int, rows: int, weights: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for i, j in slices(texts):
-                docs = [normalise(t) for t in texts[i:j]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for i, j, texts in text_slices(batch.column("text")):
+                docs = [normalise(t) for t in texts]
                 doc, h = shingle_hashes(docs, width)
                 full = np.bincount(doc, minlength=len(docs)) > 0
-                sig = signatures(*(weighted(doc, h)[:2] if weights == "count" else (doc, h)), len(docs), bands * rows, weighted(doc, h)[2] if weights == "count" else None)
-                keys = band_keys(sig, bands)
-                yield pd.DataFrame({"id": pdf["id"].iloc[i:j].to_numpy(), "node": [digest(d) if f else None for d, f in zip(docs, full)], "bands": [list(x) if f else None for x, f in zip(keys, full)]})
+                doc, h, weight = weighted(doc, h) if weights == "count" else (doc, h, None)
+                keys = band_keys(signatures(doc, h, len(docs), bands * rows, weight), bands)
+                cols = [batch.column("id").slice(i, j - i), pa.array([digest(d) if f else None for d, f in zip(docs, full)], pa.binary()), pa.array([x if f else None for x, f in zip(keys, full)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "bands"])
 
     return run
 
 
-def _with_node(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"node": [digest(w) if (w := normalise(t)) else None for t in pdf["text"]], "text": pdf["text"]})
-
-
-def _verify(width: int, threshold: float, weights: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, own = None, None
-        for pdf in batches:
-            hit = []
-            for a, ta, tb in zip(pdf["a"], pdf["text_a"], pdf["text_b"]):
-                if a != last:
-                    last, own = a, shingle_set(ta, width)
-                other = shingle_set(tb, width)
-                if weights != "count":
-                    n = len(np.intersect1d(own[0], other[0], assume_unique=True))
-                    s = n / max(1, len(own[0]) + len(other[0]) - n)
-                else:
-                    s = probability_jaccard(own, other)
-                hit.append(s >= threshold)
-            yield pdf.loc[np.array(hit, dtype=bool), ["a", "b"]]
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    for batch in batches:
+        for i, j, texts in text_slices(batch.column("text")):
+            nodes = [digest(w) if (w := normalise(t)) else None for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column("text").slice(i, j - i)], names=["node", "text"])
+
+
+def _sets(width: int, weights: str):
+    """The sorted shingle hashes of each node, with repeats where they weigh."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for i, j, texts in text_slices(batch.column("text")):
+                own = [shingle_set(t, width) for t in texts]
+                values = [(np.repeat(h, n) if weights == "count" else h).view(np.int64) for h, n in own]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(values, pa.list_(pa.int64()))], names=["node", "value"])
 
     return run
 
 
-def _sets(width: int, weights: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, nodes = pdf["text"].tolist(), pdf["node"].tolist()
-            for i, j in slices(texts):
-                own = [shingle_set(t, width) for t in texts[i:j]]
-                yield pd.DataFrame({"node": nodes[i:j], "value": [(np.repeat(h, n) if weights == "count" else h).view(np.int64) for h, n in own]})
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Exact probability Jaccard of two sorted arrays of shingle hashes in which repeats are weights."""
+    if (x[1:] == x[:-1]).any() or (y[1:] == y[:-1]).any():
+        return probability_jaccard(np.unique(x, return_counts=True), np.unique(y, return_counts=True))
+    n = len(np.intersect1d(x, y, assume_unique=True))
+    return n / max(1, len(x) + len(y) - n)
+
+
+def _verify(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            sides = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("x"), batch.column("y"))]
+            (ox, vx), (oy, vy) = sides
+            hit = [similarity(vx[ox[i] : ox[i + 1]], vy[oy[i] : oy[i + 1]]) >= threshold for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return run
 
 
-def _alike(threshold: float, weights: str, step: int = 1 << 14):
-    """Which pairs of shingle sets reach the threshold, from exact counts of their common shingles."""
+def _occurrences(v: np.ndarray) -> np.ndarray:
+    """Sorted hashes with the k-th repeat of one made distinct, so that common elements of two are their multiset's."""
+    v = np.asarray(v, np.int64).view(_U)
+    new = np.concatenate(([True], v[1:] != v[:-1])) if len(v) else np.zeros(0, bool)
+    at = np.arange(len(v))
+    k = at - np.maximum.accumulate(np.where(new, at, 0)) if len(v) else at
+    return np.where(k > 0, mix(v + k.astype(_U) * _U(0x9E3779B97F4A7C15)), v)
+
+
+def _alike(threshold: float, step: int = 1 << 14):
+    """Which pairs of two lists of shingle arrays reach the threshold, from exact counts of their common shingles."""
 
     def common(x: list, y: list) -> np.ndarray:
         size = np.array([len(v) for v in (*x, *y)])
@@ -171,17 +190,23 @@ def _alike(threshold: float, weights: str, step: int = 1 << 14):
         return out
 
     def hits(x: list, y: list) -> np.ndarray:
-        if weights == "count":
-            a, b = ([np.unique(v, return_counts=True) for v in side] for side in (x, y))
-            return np.array([[probability_jaccard(u, v) >= threshold for v in b] for u in a])
-        n = common(x, y)
-        total = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
-        return n / np.maximum(1, total - n) >= threshold
+        x, y = ([np.asarray(v, np.int64) for v in side] for side in (x, y))
+        n = common(*([_occurrences(v) for v in side] for side in (x, y)))
+        a, b = np.array([len(v) for v in x])[:, None], np.array([len(v) for v in y])[None, :]
+        out = n / np.maximum(1, a + b - n) >= threshold
+        flat_x, flat_y = (np.array([not (v[1:] == v[:-1]).any() for v in side]) for side in (x, y))
+        # where shingles repeat, common occurrences over the smaller total bound the similarity from above; what passes is computed exactly
+        weigh = ~(flat_x[:, None] & flat_y[None, :])
+        out[weigh] = False
+        for i, j in zip(*np.nonzero(weigh & (n >= threshold * np.minimum(a, b) * (1 - 1e-9)))):
+            out[i, j] = similarity(x[i].view(_U), y[j].view(_U)) >= threshold
+        return out
 
     return hits
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4, rounds: int = 4, weights: str = "unit", block: int = 128) -> DataFrame:
+@tidy
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 16, rows: int = 4, rounds: int = 4, weights: str = "count", block: int = 128) -> DataFrame:
     """Classes of near-duplicate rows.
 
     Returns one row per row of ``docs``: (id, node binary, class_id, class_size,
@@ -194,25 +219,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    signed = materialize(src.mapInPandas(_sign(width, bands, rows, weights), f"id {kind}, node binary, bands array<long>"), "signed")
+    signed = materialize(src.mapInArrow(_sign(width, bands, rows, weights), f"id {kind}, node binary, bands array<long>"), "signed")
     one = signed.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     spread = one.select("node", F.posexplode("bands").alias("band", "key"))
     multi = spread.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
+    multi = materialize(multi, "multi")
     members = materialize(spread.join(multi, ["band", "key"]).select("band", "key", "node"), "members")
     wanted = members.select("node").distinct()
-    texts = src.filter(F.col("text").isNotNull()).select("text").mapInPandas(_with_node, "node binary, text string").join(wanted, "node").groupBy("node").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "texts")
+    texts = src.filter(F.col("text").isNotNull()).select("text").mapInArrow(_with_node, "node binary, text string").join(wanted, "node").groupBy("node").agg(F.min("text").alias("text"))
+    values = materialize(texts.mapInArrow(_sets(width, weights), "node binary, value array<long>"), "shingles")
     whole, links, tried = members, None, None
     for k in range(rounds):
         rank = F.struct(F.xxhash64("node", "band", F.lit(k)).alias("h"), F.col("node"))
         centre = members.groupBy("band", "key").agg(F.min(rank)["node"].alias("c"), F.count("*").alias("n")).filter("n > 1")
+        centre = materialize(centre, "centre")
         near = members.join(centre, ["band", "key"]).filter("node <> c")
         pairs = near.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        with_text = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        found = materialize(with_text.mapInPandas(_verify(width, threshold, weights), "a binary, b binary"), "found")
+        sides = pairs.join(values.select(F.col("node").alias("a"), F.col("value").alias("x")), "a").join(values.select(F.col("node").alias("b"), F.col("value").alias("y")), "b")
+        found = materialize(sides.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a binary, b binary"), "found")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if k + 1 == rounds:
@@ -225,9 +252,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = left
     groups = materialize(connected_components(links, "a", "b"), "groups")
     # the only pair of a bucket of two has met already
-    more = whole.groupBy("band", "key").count().filter("count > 2").select("band", "key")
+    more = materialize(whole.groupBy("band", "key").count().filter("count > 2").select("band", "key"), "more")
     parts = whole.join(more, ["band", "key"]).join(groups, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("part"))
-    across = cross_links(parts, ["band", "key"], texts.mapInPandas(_sets(width, weights), "node binary, value array<long>"), _alike(threshold, weights), block)
+    across = cross_links(parts, ["band", "key"], values, _alike(threshold), block)
     if not across.isEmpty():
         # a part without links so far is a node of its own
         over = materialize(connected_components(across, "a", "b"), "over").select(F.col("node").alias("component"), F.col("component").alias("top"))

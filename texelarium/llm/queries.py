@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embedding_dedup, exact_dedup, langid, licenses, minhash, mixing, toxicity, url_filter, warc
-from .common import fold, new_path, table
+from .common import fold, new_path, table, tidy
 
 #: Listed entries of op8: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -25,6 +25,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_sentences", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["rule"], m["start"].cast("string"), m["end"].cast("string"))), ",").alias("spans"))
 
 
+@tidy
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
@@ -42,22 +43,26 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, learned, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@tidy
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@tidy
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archive(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     back = warc.read_archive(spark, path)
     return back.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
+@tidy
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@tidy
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
     out = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed)
@@ -69,6 +74,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+@tidy
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = fold("doc_id", 3) == 1
