@@ -2,10 +2,14 @@
 
 Misra-Gries counters (``DataFrame.freqItems``, an aggregate of at most 1/support
 counters) name every digest that more than ``support`` of all rows have. Their
-exact winners and sizes are then computed by an aggregate that combines before
-the shuffle, and are broadcast (at most 1/support rows, a proven bound), so rows
-of heavy groups are decided where they are read. The remaining digests, none
-above that share, take an ordinary shuffle.
+exact winners and sizes are computed by an aggregate that combines before the
+shuffle, and are broadcast (at most 1/support rows, a proven bound), so each row
+of a heavy group is decided where it is read and never crosses the network. Only
+the remaining digests, none above that share, are shuffled: their winners are a
+table of their own, joined back by digest.
+
+Rows get a number when their digests are written, so of rows that repeat in full
+exactly one wins.
 
 Defined cases: null text counts as empty text; texts are equal when identical
 after deleting ASCII white space; null ids come last in ties; of repeated rows
@@ -15,7 +19,6 @@ after deleting ASCII white space; null ids come last in ties; of repeated rows
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WHITE, materialize
@@ -38,25 +41,17 @@ def heavy_digests(rows: DataFrame, support: float = 0.001) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
-    """One row per row of ``docs``: (id, keep_id, group_size, kept, digest, size, copies).
+    """One row per row of ``docs``: (id, keep_id, group_size, kept, digest, size).
 
     Of equal texts, the row with the most code points of original text, then the
-    smallest id stays. ``copies``: rows of the same id, digest and size, of which at most one stays.
+    smallest id stays.
     """
-    rows = materialize(digests(docs, id_col, text_col), "digests")
-    # equal (id, digest, size) rows are counted as one from here on, and unfolded at the end
-    order = F.struct((-F.col("size")).alias("s"), F.col("id").isNull().alias("none"), F.col("id"))
-    candidates = F.broadcast(heavy_digests(rows, support))  # at most 1 / support rows
-    heavy = rows.join(candidates, "digest", "left_semi").groupBy("digest").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
-    heavy = heavy.select("digest", "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.s")).alias("keep_size"))
-    counted = rows.groupBy("id", "digest", "size").agg(F.count("*").alias("copies"))
-    counted = materialize(counted, "counted")
-    heavy = F.broadcast(materialize(heavy, "heavy"))  # at most 1 / support rows
-    decided = counted.join(heavy, "digest")
-    group = W.partitionBy("digest")
-    first = F.first(F.struct("id", "size")).over(group.orderBy(F.desc("size"), F.asc_nulls_last("id")))
-    light = counted.join(heavy, "digest", "left_anti").withColumns({"group_size": F.sum("copies").over(group), "best": first})
-    light = light.select("digest", "id", "size", "copies", "group_size", F.col("best.id").alias("keep_id"), F.col("best.size").alias("keep_size"))
-    both = decided.select(*light.columns).unionByName(light).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size")) & (F.col("i") == 1)
-    return both.select("id", "keep_id", "group_size", kept.alias("kept"), "digest", "size", "copies")
+    rows = materialize(digests(docs, id_col, text_col).withColumn("n", F.monotonically_increasing_id()), "digests")
+    order = F.struct((-F.col("size")).alias("s"), F.col("id").isNull().alias("none"), F.col("id"), F.col("n"))
+    winners = lambda some: some.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(order).alias("best")).select("digest", "group_size", F.col("best.id").alias("keep_id"), F.col("best.n").alias("keep_n"))
+    candidates = F.broadcast(materialize(heavy_digests(rows, support), "candidates"))  # at most 1 / support rows
+    heavy = F.broadcast(materialize(winners(rows.join(candidates, "digest", "left_semi")), "heavy"))  # at most 1 / support rows
+    light = rows.join(heavy, "digest", "left_anti")
+    # written, so that the join below is a plain one
+    decided = rows.join(heavy, "digest").unionByName(light.join(materialize(winners(light), "light"), "digest"))
+    return decided.select("id", "keep_id", "group_size", (F.col("n") == F.col("keep_n")).alias("kept"), "digest", "size")
