@@ -12,11 +12,10 @@ stays where one should.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from texelarium.llm import bpe, exact_dedup, langid, minhash, mixing
-from texelarium.llm.common import fold, materialize, table
+from texelarium.llm.common import discard, fold, materialize, table, tidy
 from texelarium.llm.queries import tokenizer_path
 
 
@@ -26,10 +25,23 @@ def _row_key() -> Column:
     return F.concat(F.coalesce(number, F.lit("~")), F.lit(":"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
 
 
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key is in ``keys`` (column __key, distinct), once each."""
-    joined = docs.withColumn("__key", _row_key()).join(keys, "__key")
-    return joined.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy("__key"))).filter("__n = 1").select(*docs.columns)
+#: Keys that are broadcast to filter documents: at most so many, of 60 bytes or less; more take a shuffled join.
+BROADCAST_KEYS = 200_000
+
+
+def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, by (__key, kept) of every row.
+
+    Most keys belong to one row, which stays; only the others are listed, so where
+    these are few no text is shuffled.
+    """
+    per_key = decided.groupBy("__key").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("stay"))
+    listed = materialize(per_key.filter("n > 1 OR stay = 0"), "listed")
+    small = F.broadcast if listed.count() <= BROADCAST_KEYS else lambda df: df
+    keyed = docs.withColumn("__key", F.md5(_row_key().cast("binary")))
+    # a key of several rows stands for rows that repeat in id and text
+    again = keyed.join(small(listed.filter("stay > 0").select("__key")), "__key", "left_semi").dropDuplicates(["__key"])
+    return keyed.join(small(listed.select("__key")), "__key", "left_anti").unionByName(again).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +56,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space, keeps the longest original, then the smallest id."""
-    keyed = docs.select(_row_key().alias("__key"), "text")
-    out = exact_dedup.exact_duplicates(keyed, id_col="__key", text_col="text")
-    return _only(docs, out.filter("kept").select(F.col("id").alias("__key")))
+    keyed = docs.select(_row_key().alias("key"), "text")
+    out = exact_dedup.exact_duplicates(keyed, id_col="key", text_col="text")
+    return _only(docs, out.select(F.md5(F.col("id").cast("binary")).alias("__key"), "kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates, keeps the row of smallest id."""
-    keyed = docs.select(_row_key().alias("__key"), "text")
-    out = minhash.near_duplicates(keyed, id_col="__key", text_col="text")
-    return _only(docs, out.filter("kept").select(F.col("id").alias("__key")).distinct())
+    keyed = docs.select(_row_key().alias("key"), "text")
+    out = minhash.near_duplicates(keyed, id_col="key", text_col="text")
+    return _only(docs, out.select(F.md5(F.col("id").cast("binary")).alias("__key"), "kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,6 +95,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for _, stage in STAGES:  # each result is written; what a stage wrote on the way, and its input, is deleted
+        done = tidy(stage)(spark, docs, sf_dir)
+        discard(docs)
+        docs = done
     return docs
