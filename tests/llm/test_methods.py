@@ -76,20 +76,26 @@ def test_op3_whole_table(spark, data, duck, encoding):
         assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
 
 
-def test_suffix_automaton_phrases():
-    rng = random.Random(4)
-    for _ in range(50):
-        base = "".join(rng.choice("abc") for _ in range(40))
-        text = "".join(rng.choice("abcd") for _ in range(60))
-        n, at = 0, 0
-        while at < len(text):
-            k = 0
-            while at + k < len(text) and text[at : at + k + 1] in base:
-                k += 1
-            at += max(1, k)
-            n += 1
-        # an unknown character ends a phrase and stands between two
-        assert abs(langid.phrases(langid.suffix_automaton(base), text) - n) <= text.count("d") + 1
+def _plain_phrases(base, text):
+    n = at = 0
+    while at < len(text):
+        k = 0
+        while at + k < len(text) and text[at : at + k + 1] in base:
+            k += 1
+        at += max(1, k)
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("texts", [3, 40])
+def test_suffix_automaton_phrases(texts):
+    """Exact numbers of phrases, side by side and one by one; 'd' and 'é' occur in one language or none."""
+    rng = random.Random(texts)
+    base = {f"l{k}": "".join(rng.choice("abc" + "d" * (k == 2)) for _ in range(rng.randint(1, 80))) for k in range(5)}
+    many = ["".join(rng.choice("abcdé") for _ in range(rng.randint(0, 300))) for _ in range(texts)] + ["abcdabc", "dd", ""]
+    got = langid.Identifier(base).phrases(many)
+    assert got.tolist() == [[_plain_phrases(base[k], t) for k in sorted(base)] for t in many]
+    assert langid.Identifier({"x": "abc"}).phrases(["abcdabc"]).tolist() == [[3]]
 
 
 def test_language_on_held_out(spark, data, duck):
@@ -112,13 +118,41 @@ def _classes(ids, links):
     return {i: find(i) for i in ids}
 
 
+def _alike(texts):
+    """All pairs whose probability Jaccard of counted shingles is 0.8 or more, by the definition."""
+    counts = {i: dict(zip(*(x.tolist() for x in shingles.shingle_set(t)))) for i, t in texts}
+    ids, links = sorted(counts), []
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = counts[i], counts[j]
+            both = a.keys() & b.keys()
+            if not both or sum(min(a[x], b[x]) for x in both) < 0.8 * min(sum(a.values()), sum(b.values())):
+                continue  # an upper bound
+            every = a.keys() | b.keys()
+            w = np.array([(a.get(x, 0), b.get(x, 0)) for x in every], float)
+            if sum(1 / np.maximum(w[:, 0] / a[x], w[:, 1] / b[x]).sum() for x in both) >= 0.8:
+                links.append((i, j))
+    return links
+
+
 def test_near_duplicates_brute_force(spark, data, duck):
     docs = duck.execute("select doc_id, text from documents").fetchall()
-    sets = {i: set(shingles.shingle_set(t)[0].tolist()) for i, t in docs}
-    ids = sorted(sets)
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     got = QUERIES["op9_minhash_dedup"](spark, data).collect()
-    assert {r["doc_id"]: r["class_id"] for r in got} == _classes(ids, links)
+    assert {r["doc_id"]: r["class_id"] for r in got} == _classes([i for i, _ in docs], _alike(docs))
+
+
+def test_near_duplicates_weighted(spark):
+    """Texts whose shingles repeat differently often: sets are equal, weights are not."""
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(50)) for _ in range(12)) for _ in range(6)]
+    docs = [(k, "\n".join(line for line in lines for _ in range(rng.choice((1, 1, 2, 9))))) for k in range(60)]
+    links = _alike(docs)
+    sets = {i: set(shingles.shingle_set(t)[0].tolist()) for i, t in docs}
+    plain = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = _classes(range(60), links)
+    assert len(links) != len(plain) and len(set(want.values())) > 3
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["id"]: r["class_id"] for r in got} == want
 
 
 @pytest.mark.parametrize("copies", [200, 1000])
@@ -289,8 +323,7 @@ def test_pipeline_brute_force(spark, data, duck, encoding):
         if k not in best or len(t) > len(docs[best[k]]):
             best[k] = i
     ids = sorted(best.values())
-    sets = {i: set(shingles.shingle_set(docs[i])[0].tolist()) for i in ids}
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = _alike([(i, docs[i]) for i in ids])
     kept = {i for i, c in _classes(ids, links).items() if i == c}
     rows = corpus_pipeline.run(spark, data).collect()
     assert {r["doc_id"] for r in rows} <= kept
