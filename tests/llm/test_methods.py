@@ -11,7 +11,8 @@ import duckdb
 import numpy as np
 import pytest
 import tiktoken
-from texelarium.llm import bpe, langid, licenses, minhash, queries, shingles
+from pyspark.sql import functions as F
+from texelarium.llm import bpe, langid, licenses, minhash, queries, shingles, toxicity
 from texelarium.llm.components import connected_components
 
 QUERIES, SQL = queries.queries(), queries.oracle_sql()
@@ -295,15 +296,85 @@ def test_wrapped_licences(name, sign, width):
         assert [x[:2] for x in licenses.scan_text(whole)[1]] == [(licence, rule)]
 
 
-def test_toxicity_separates(spark, data, duck):
-    labels = defaultdict(int)
-    for i, t in duck.execute("select doc_id, toxic from labels").fetchall():
-        labels[i] = max(labels[i], t)
+def test_toxicity_rows(spark, data, duck):
     rows = [r for r in QUERIES["op10_toxicity"](spark, data).collect()]
     assert len(rows) == duck.execute("select count(*) from documents").fetchone()[0]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def test_kneser_ney_brute_force(spark):
+    """Ratios, shared backoff and normalised class probabilities against a plain computation of the definition."""
+    rng = random.Random(8)
+    counts = {}
+    for _ in range(400):
+        ab = rng.randint(0, 12), rng.randint(1, 20)
+        t, o = counts.get(ab, (0, 0))
+        counts[ab] = (t + 1, o) if rng.random() < 0.4 else (t, o + 1)
+    for k in range(1, 21):
+        counts.setdefault((0, k), (0, 1))
+    base, prior, conc = 2.0, 5.0, 7.0
+    hist = lambda v: [sum(x == k for x in v) for k in (1, 2, 3, 4)]
+    off = lambda x, d: d[min(int(x), 3)]
+    words, contexts = sorted({b for _, b in counts}), sorted({a for a, _ in counts})
+    types = {b: sum(y == b for _, y in counts) for b in words}
+    floor = sum(types.values()) + base * (len(words) + 1)
+    shared = {b: (types[b] + base) / floor for b in words}
+    d_all = toxicity.discounts(hist([t + o for t, o in counts.values()]))
+    prob, unseen = [], []
+    for cls in (0, 1):
+        left = {b: sum(y == b and n[cls] > 0 for (_, y), n in counts.items()) for b in words}
+        e = toxicity.discounts(hist(left.values()))
+        mass = sum(off(x, e) for x in left.values()) + prior
+        word = {b: (left[b] - off(left[b], e) + mass * shared[b]) / (sum(left.values()) + prior) for b in words}
+        unknown = mass * base / floor / (sum(left.values()) + prior)
+        assert abs(sum(word.values()) + unknown - 1) < 1e-9
+        d, own = toxicity.discounts(hist([n[cls] for n in counts.values()])), {}
+        for a in contexts:
+            seen = {b: n for (x, b), n in counts.items() if x == a}
+            total = sum(t + o for t, o in seen.values())
+            gamma = sum(off(t + o, d_all) for t, o in seen.values()) / total
+            pooled = lambda b: (sum(seen[b]) - off(sum(seen[b]), d_all) if b in seen else 0) / total + gamma * shared[b]  # noqa: B023, E731
+            tilt = {b: pooled(b) * word[b] / shared[b] for b in words} | {None: gamma * unknown}
+            z, m = sum(tilt.values()), sum(n[cls] for n in seen.values())
+            free = sum(off(n[cls], d) for n in seen.values()) + conc
+            p = {b: ((seen[b][cls] - off(seen[b][cls], d) if b in seen else 0) + free * x / z) / (m + conc) for b, x in tilt.items()}
+            assert abs(sum(p.values()) - 1) < 1e-9
+            own |= {(a, b): x for b, x in p.items()}
+        prob.append(own)
+        unseen.append(word | {None: unknown})
+    df = spark.createDataFrame([(a, b, t, o) for (a, b), (t, o) in counts.items()], "a long, b long, t long, o long")
+    w, pairs, unknown = toxicity.entries(df, base, prior, conc, least=0.0)
+    m = toxicity.Model(w.toPandas(), pairs.toPandas(), unknown)
+    want = [np.log(prob[0][a, b] / prob[1][a, b]) for a in contexts for b in [*words, None]]
+    name = lambda b: 10**6 if b is None else b
+    got = [m.ratios(np.array([a, name(b)], np.uint64))[1] for a in contexts for b in [*words, None]]
+    assert np.allclose(got, want, atol=1e-9)
+    # a context that nothing is known of leaves the word level
+    assert np.allclose([m.ratios(np.array([999, name(b)], np.uint64))[1] for b in [*words, None]], [np.log(unseen[0][b] / unseen[1][b]) for b in [*words, None]])
+
+
+def test_toxicity_separates_and_joins_agree(spark):
+    """Held-out texts are told apart, and a model in tables scores as one in arrays does."""
+    rng = random.Random(12)
+    plain, bad = [f"w{k}" for k in range(300)], ["vile", "scum", "rot", "filth"]
+    rows = []
+    for k in range(900):
+        words, toxic = [rng.choice(plain) for _ in range(rng.randint(5, 80))], k % 4 == 0
+        for _ in range(3 if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((k, " ".join(words), int(toxic if rng.random() < 0.97 else not toxic), int(toxic)))
+    rows += [(900, None, 0, 0), (901, "", 0, 0), (902, rows[0][1], rows[0][2], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, truth int")
+    learn = F.col("doc_id") % 3 != 1
+    scorers = [toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), learn, most_entries=n) for n in (10**6, 0)]
+    assert scorers[0].model is not None and scorers[1].tables is not None
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.score(df, s, ["doc_id"]).collect()} for s in scorers)
+    assert a.keys() == b.keys() and len(a) == len(rows) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    held = [(a[k], truth) for k, _, _, truth in rows if k % 3 == 1]
+    hit = [x > y for x, p in held for y, q in held if p and not q]
+    assert np.mean(hit) > 0.97
+
+
 @pytest.mark.parametrize("lang", [None, "und", "en"])
 def test_language_stage_keeps_texts_with_letters(spark, lang):
     rows = [(k, "some plain words é", lang, "s", 18) for k in range(20)] + [(20, "123 !!", lang, "s", 6), (21, None, lang, "s", 0), (22, "", lang, "s", 0)]
