@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from texelarium.llm import bpe, langid, licenses, minhash, queries, shingles, toxicity
+from texelarium.llm import bpe, langid, licenses, minhash, mixing, queries, shingles, toxicity
 from texelarium.llm.components import connected_components
 
 QUERIES, SQL = queries.queries(), queries.oracle_sql()
@@ -224,6 +224,16 @@ def test_vectors_brute_force(spark, duck, tmp_path):
     assert np.mean([r["component_id"] == want[r["vec_id"]] for r in got]) > 0.99
 
 
+def test_unequal_probabilities(spark):
+    """Pareto order sampling with weights: fixed size, and inclusion near to what is asked."""
+    rows = [(k, " ".join(["w"] * 10), "s", 1.0 + k % 4) for k in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, w double"), weight_col="w", share=0.5, bins=8, levels=2).collect()
+    assert abs(sum(r["taken"] for r in got) - 20_000) <= 10
+    for k in range(4):
+        want = 0.5 * (1 + k) / 2.5
+        assert abs(np.mean([r["copies"] for r in got if r["id"] % 4 == k]) - want) < 0.05
+
+
 def test_licence_rules():
     text = "Intro here.\nLicensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nhttp://www.apache.org\nUnless.\nReleased under the MIT License.\nSPDX-License-Identifier: BSD-3-Clause\n"
     n, found = licenses.scan_text(text)

@@ -9,8 +9,10 @@ differ between the documents of a source.
 
 The cut is found without sorting a source in one task: keys fall into ``bins``
 ranges (counted by an aggregate that combines before the shuffle), running sums
-over a source's ranges name the range that holds the cut, and only that range's
-documents are ordered one by one.
+over a source's ranges name the range that holds the cut, that range is divided
+again, ``levels`` times in all, and only the documents of the last range, one in
+``bins ** levels`` of the source, are ordered one by one. The only windows without
+a partition are over the table of sources, one row each.
 
 Random numbers are md5 of seed and id, so reruns agree on any partitioning.
 Defined cases: null text has size 0; sources without words have target 0; null
@@ -62,7 +64,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
     return cap.select("source", "source_size", F.when(open_, F.least(F.col("w") * level, F.col("cap"))).otherwise(F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", bins: int = 1024, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", bins: int = 128, levels: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: (id, source, size, source_size, target, taken, whole, copies).
 
     ``taken`` is size times copies, the whole copies plus the sampled one. The
@@ -80,15 +82,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keyed = keyed.withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("whole"))
     u = uniform(F.col("id"), seed)
     key = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    keyed = keyed.withColumn("key", key).withColumn("bin", F.floor(F.col("key") / (1 + F.col("key")) * bins).cast("int"))
-    # words that the certain copies leave to the sample
-    per_bin = keyed.groupBy("source", "bin").agg(F.sum(F.when(F.col("key").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.max("target").alias("target"))
-    run = W.partitionBy("source").orderBy(F.asc_nulls_first("bin")).rowsBetween(W.unboundedPreceding, -1)
-    bins_ = per_bin.withColumn("left", F.col("target") - F.sum("certain").over(W.partitionBy("source"))).withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    cut = bins_.filter(F.col("bin").isNotNull() & (F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left")))
-    cut = cut.groupBy("source").agg(F.min_by(F.struct("bin", "before", "left"), "bin").alias("cut")).select(F.col("source").alias("g"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("cut_before"), F.col("cut.left").alias("left"))
+    keyed = keyed.withColumn("key", key)
+    place = lambda level: F.floor(F.col("key") / (1 + F.col("key")) * float(bins**level)).cast("long")
+    # words that the certain copies leave to the sample; all keys are in range 0 of level 0
+    left = F.greatest(F.lit(0.0), F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("left")
+    cut = keyed.groupBy(F.col("source").alias("g")).agg(F.lit(0).cast("long").alias("cut_bin"), F.lit(0).cast("long").alias("cut_before"), left)
     cut = materialize(cut, "cut")
-    placed = keyed.join(cut, F.col("source").eqNullSafe(F.col("g")), "left")
+    run = W.partitionBy("g").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    for level in range(1, levels + 1):
+        inside = keyed.filter(F.col("key").isNotNull()).join(cut, F.col("source").eqNullSafe(F.col("g"))).filter(place(level - 1) == F.col("cut_bin"))
+        sums = inside.groupBy("g", place(level).alias("bin")).agg(F.sum("size").alias("words"), F.max("cut_before").alias("start"), F.max("left").alias("left"))
+        sums = sums.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(run), F.lit(0)))
+        found = sums.filter((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left"))).groupBy("g").agg(F.min(F.struct("bin", "before", "left")).alias("c"))
+        cut = materialize(found.select("g", F.col("c.bin").alias("cut_bin"), F.col("c.before").alias("cut_before"), F.col("c.left").alias("left")), "cut")
+    placed = keyed.withColumn("bin", place(levels)).join(cut, F.col("source").eqNullSafe(F.col("g")), "left")
     tie = W.partitionBy("source").orderBy("key", F.asc_nulls_first("id"), "size").rowsBetween(W.unboundedPreceding, -1)
     inside = placed.filter(F.col("key").isNotNull() & (F.col("bin") == F.col("cut_bin")))
     inside = inside.withColumn("start", F.col("cut_before") + F.coalesce(F.sum("size").over(tie), F.lit(0)))

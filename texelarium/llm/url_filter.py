@@ -3,7 +3,9 @@
 A listed entry is a host and a path prefix with a verdict. It fits its host and
 all subdomains if the URL's path starts with the entry's path. A URL has a few
 candidate expressions: its host's last k labels with the first n characters of
-its path, for each pair (k, n) that the list has. The Bloom filter (256-bit
+its path, for each pair (k, n) that the list has. These lengths are a small table
+by k: at most as many rows as hosts have labels, each with at most as many lengths
+as paths have characters, whatever the length of the list. The Bloom filter (256-bit
 blocks of four words, eight bits a key) is a small table keyed by block; an
 expression touches one block. Possible hits go to an exact join with the list,
 which removes false positives. The longest entry wins, block before allow on a tie.
@@ -71,23 +73,26 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", default: st
     entries = materialize(entries.groupBy("host", "path").agg(F.max("verdict").alias("verdict")), "listed")  # block after allow
     urls = pages.select(F.col(url_col).alias("_url")).filter("_url is not null").distinct()
     urls = urls.withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))})
-    shapes = entries.select(F.size(F.split("host", r"\.")).alias("k"), F.length("path").alias("n")).groupBy("k", "n").count().collect()
+    keys = entries.count()
+    # one row per number of labels
+    shapes = F.broadcast(entries.groupBy(F.size(F.split("host", r"\.")).alias("k")).agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths")))
     labels = F.split("_host", r"\.")
-    keys = sum(r["count"] for r in shapes)
-    if not shapes:
-        hits = urls.select("_url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("said")).limit(0)
-    else:
-        # a shape of the host's and path's lengths makes at most one expression
-        made = F.array(*[F.when((F.size(labels) >= r["k"]) & (F.length("_path") >= r["n"]), F.struct(F.array_join(F.slice(labels, -r["k"], r["k"]), ".").alias("host"), F.substring("_path", 1, r["n"]).alias("path"))) for r in sorted(shapes, key=lambda r: (r["k"], r["n"]))])
-        asked = urls.filter("_host <> ''").select("_url", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x")).select("_url", "x.host", "x.path")
-        filter_, blocks = bloom(entries, keys)
-        filter_ = F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_
-        maybe = _with_bits(asked, blocks).join(filter_, "block")
-        for w in range(4):
-            maybe = maybe.filter(F.col(f"m{w}").bitwiseAND(F.col(f"w{w}")) == F.col(f"m{w}"))
-        exact = maybe.select("_url", "host", "path").join(entries, ["host", "path"])
-        best = F.struct((F.length("host") + F.length("path")).alias("n"), F.col("verdict"), F.concat("host", "path").alias("rule"))
-        hits = exact.groupBy("_url").agg(F.max(best).alias("best")).select("_url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("said"))
+    asked = urls.filter("_host <> ''").select("_url", "_path", labels.alias("labels"), F.explode(F.sequence(F.lit(1), F.size(labels))).alias("k")).join(shapes, "k")
+    asked = asked.select("_url", "_path", F.array_join(F.slice("labels", -F.col("k"), F.col("k")), ".").alias("host"), F.explode(F.filter("lengths", lambda n: n <= F.length("_path"))).alias("n"))
+    asked = asked.select("_url", "host", F.substring("_path", F.lit(1), F.col("n")).alias("path"))
+    filter_, blocks = bloom(entries, keys)
+    filter_ = F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_
+    maybe = _with_bits(asked, blocks).join(filter_, "block")
+    for w in range(4):
+        maybe = maybe.filter(F.col(f"m{w}").bitwiseAND(F.col(f"w{w}")) == F.col(f"m{w}"))
+    exact = maybe.select("_url", "host", "path").join(entries, ["host", "path"])
+    best = F.struct((F.length("host") + F.length("path")).alias("n"), F.col("verdict"), F.concat("host", "path").alias("rule"))
+    hits = exact.groupBy("_url").agg(F.max(best).alias("best")).select("_url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("said"))
+    hits = materialize(hits, "hits")  # a table of its own, so that the join below is a plain one whose hot URLs can be split
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    out = pages.select(*keep).join(hits, F.col(url_col) == F.col("_url"), "left")
+    # rows without a host fit no entry and are not joined, so null URLs do not meet in one task
+    has = F.coalesce(host_of(F.col(url_col)) != "", F.lit(False))
+    none = F.lit(None).cast("string")
+    some = pages.filter(has).select(*keep).join(hits, F.col(url_col) == F.col("_url"), "left").drop("_url")
+    out = some.unionByName(pages.filter(~has).select(*keep, none.alias("rule"), none.alias("said")))
     return out.select(*keep, F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url_col)), F.lit("")).alias("path"), "rule", F.coalesce("said", F.lit(default)).alias("verdict"))

@@ -8,10 +8,16 @@ Headers are kept exactly as written, apart from payloads; reading joins headers
 to payloads by digest, checks every payload against its digest, and so rebuilds
 each original record, also those whose payload another record holds.
 
-Archives are plain WARC/1.1 streams, one a task and each compressed as one gzip
-file, written and read through Spark's own sinks and sources, so any store that
-Spark reaches will do. A record is found by its Content-Length, never by
-searching for a delimiter, as payloads may hold anything.
+Archives are plain WARC/1.1 streams, each compressed as one gzip file, written and
+read through Spark's own sinks and sources, so any store that Spark reaches will
+do. Records are written in runs of ``RUN`` bytes and a file takes ``RUNS`` of these,
+so it holds 128 MB (or as many records as are larger than a run). A record is found
+by its Content-Length, never by searching for a delimiter, as payloads may hold
+anything.
+
+A response has its payload; only revisits are joined, with the payloads of the
+digests that they name, once each in a table of their own, so the revisits of a
+frequent payload can be split. A revisit whose payload is missing is an error.
 
 Defined cases: null html is the empty payload; null or odd URLs are written with
 control characters and blanks as %20 (null: ``about:blank``); rows that
@@ -26,14 +32,16 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize, new_path, text_slices
 
 #: At most so many digests that repeat are broadcast (48 bytes each); more take a shuffled join.
 BROADCAST_DIGESTS = 200_000
+#: Bytes of a run of records, and runs of a file.
+RUN, RUNS = 4 << 20, 32
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -70,10 +78,26 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return rows.select(F.concat(head, "http", F.when(F.col("revisit"), "").otherwise(F.col("payload")), F.lit("\r\n\r")).alias("record"))
 
 
-def write_archive(pages: DataFrame, path: str | None = None, per_file: int = 20_000, **options) -> str:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins records to runs of about RUN bytes; the sink ends each with the line feed that ends its last record."""
+    held: list[str] = []
+    size = 0
+    for batch in batches:
+        for _, _, texts in text_slices(batch.column("record"), RUN):
+            held += texts
+            size += sum(map(len, texts))
+            if size >= RUN:
+                yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)], pa.string())], names=["value"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(["\n".join(held)], pa.string())], names=["value"])
+
+
+def write_archive(pages: DataFrame, path: str | None = None, **options) -> str:
     """Writes the archives and returns their folder."""
     path = path or new_path(pages.sparkSession, "warc")
-    records(pages, **options).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+    runs = records(pages, **options).mapInArrow(_runs, "value string")
+    runs.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", RUNS).text(path)
     return path
 
 
@@ -136,42 +160,47 @@ def _page(urn: str | None) -> int | None:
     return int(n) if n.lstrip("-").isdigit() else None
 
 
-def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for data in pdf["content"]:
-            rows = [(_page(f["WARC-Record-ID"]), f["WARC-Type"], _page(f.get("WARC-Refers-To")), f.get("WARC-Target-URI"), f["WARC-Payload-Digest"].removeprefix("sha256:"), head) for head, f, _ in parse(data)]
-            out = pd.DataFrame(rows, columns=["page_id", "record_type", "refers_to", "uri", "digest", "header"])
-            yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
-def _payloads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for data in pdf["content"]:
-            rows, size = [], 0
-            for _, f, payload in parse(data):
-                if f["WARC-Type"] != "response":
-                    continue
-                said = f["WARC-Payload-Digest"].removeprefix("sha256:")
-                if hashlib.sha256(payload).hexdigest() != said:
-                    raise ValueError(f"the payload of {f['WARC-Record-ID']} does not match its digest")
-                rows.append((said, payload))
-                size += len(payload)
-                if size > 8 << 20:
-                    yield pd.DataFrame(rows, columns=["digest", "payload"])
-                    rows, size = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["digest", "payload"])
+def _records(kind: str, head: bool, payload: bool):
+    """Records of one type with header, payload or both; every payload is checked against its digest."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["page_id", "refers_to", "uri", "digest", "header", "payload"])
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record_type, refers_to, uri, digest, header, payload): every record with its full payload.
+        for batch in batches:
+            for data in (x.as_py() for x in batch.column("content")):
+                rows, size = [], 0
+                for exact, f, body in parse(data):
+                    if f["WARC-Type"] != kind:
+                        continue
+                    said = f["WARC-Payload-Digest"].removeprefix("sha256:")
+                    if kind == "response" and hashlib.sha256(body).hexdigest() != said:
+                        raise ValueError(f"the payload of {f['WARC-Record-ID']} does not match its digest")
+                    rows.append((_page(f["WARC-Record-ID"]), _page(f.get("WARC-Refers-To")), f.get("WARC-Target-URI"), said, exact if head else None, body if payload else None))
+                    size += len(body) + len(exact)
+                    if size > 8 << 20 or len(rows) >= 10_000:
+                        yield out(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield out(rows)
 
-    Headers and payloads are read apart; payloads, once each, come back by a join on the digest.
-    """
+    return run
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, record_type, refers_to, uri, digest, header, payload): every record with its full payload."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    heads = files.mapInPandas(_headers, "page_id long, record_type string, refers_to long, uri string, digest string, header binary")
-    stored = files.mapInPandas(_payloads, "digest string, payload binary").groupBy("digest").agg(F.first("payload").alias("payload"))
-    return heads.join(stored, "digest").select("page_id", "record_type", "refers_to", "uri", "digest", "header", "payload")
+    form = "page_id long, refers_to long, uri string, digest string, header binary, payload binary"
+    cols = ["page_id", "record_type", "refers_to", "uri", "digest", "header", "payload"]
+    responses = files.mapInArrow(_records("response", True, True), form).withColumn("record_type", F.lit("response"))
+    revisits = files.mapInArrow(_records("revisit", True, False), form).drop("payload").withColumn("record_type", F.lit("revisit"))
+    wanted = materialize(revisits.select("digest").distinct(), "wanted")
+    stored = files.mapInArrow(_records("response", False, True), form).select("digest", "payload").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("payload").alias("payload"))
+    stored = materialize(stored, "payloads")
+    missing = F.raise_error(F.concat(F.lit("no payload for the digest "), F.col("digest"))).cast("binary")
+    rebuilt = revisits.join(stored, "digest", "left").withColumn("payload", F.coalesce("payload", missing))
+    return responses.select(*cols).unionByName(rebuilt.select(*cols))
 
 
 def original_record(header: Column, payload: Column, record_type: Column) -> Column:
