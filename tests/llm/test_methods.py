@@ -237,7 +237,7 @@ def test_unequal_probabilities(spark):
 def test_licence_rules():
     text = "Intro here.\nLicensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nhttp://www.apache.org\nUnless.\nReleased under the MIT License.\nSPDX-License-Identifier: BSD-3-Clause\n"
     n, found = licenses.scan_text(text)
-    assert [x[0] for x in found] == ["Apache-2.0", "MIT", "bsd-3-clause"] and n == 8
+    assert [x[0] for x in found] == ["Apache-2.0", "MIT", "BSD-3-Clause"] and n == 8
     assert text[found[1][2] : found[1][3]].strip() == "Released under the MIT License"
     assert licenses.match([(0, "mit.grant"), (9, "mit.include")]) == []
 
@@ -306,6 +306,30 @@ def test_wrapped_licences(name, sign, width):
         assert [x[:2] for x in licenses.scan_text(whole)[1]] == [(licence, rule)]
 
 
+def test_licences_among_others():
+    """Random sequences of wrapped licences, with other sentences between them, against what was put in."""
+    rng = random.Random(5)
+    filler = "Nothing of note is said here. Another plain sentence follows it. A third one ends the part. And one more for the gap.\n\n"
+    for _ in range(60):
+        names = [rng.choice(sorted(FULL)) for _ in range(rng.randint(1, 6))]
+        sign, width = rng.choice(["", "// ", "* "]), rng.randint(45, 100)
+        parts = ["\n".join(sign + x for p in FULL[n][0].split("\n\n") for x in [*textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False), ""]) for n in names]
+        text = filler + ("\n" + filler).join(parts) + "\n" + filler
+        assert [x[:2] for x in licenses.scan_text(text)[1]] == [FULL[n][1:] for n in names]
+
+
+@pytest.mark.parametrize("text,names", [
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0", ["MIT", "Apache-2.0", "GPL-2.0-only", "Classpath-exception-2.0"]),
+    ("# SPDX-License-Identifier: bsd-3-clause\nimport os", ["BSD-3-Clause"]),
+    ("This file is licensed under the MIT License.", ["MIT"]),
+    ("The code, unless noted, is licensed under the Apache License, Version 2.0 (see below).", ["Apache-2.0"]),
+    ("Licensed to nobody under the sun", []),
+    ("SPDX-License-Identifier:", []),
+])
+def test_licence_names(text, names):
+    assert [x[0] for x in licenses.scan_text(text)[1]] == names
+
+
 def test_toxicity_rows(spark, data, duck):
     rows = [r for r in QUERIES["op10_toxicity"](spark, data).collect()]
     assert len(rows) == duck.execute("select count(*) from documents").fetchone()[0]

@@ -7,12 +7,16 @@ rules in their order of precedence. A rule is an ordered sequence of identifiers
 between two of them at most ``GAP`` unknown sentences may stand. Longer sequences
 come first, then the rule's place in the list, and a sentence serves one match.
 
-Line breaks and end marks cut a text into pieces. Pieces in a row whose words
-together are a known sentence count as that one sentence, so hard-wrapped texts,
-commented headers and marks within a sentence ("v. 2.0") are known too. Pieces
-without a letter or digit (comment signs, rules) are no sentences for ``GAP``.
-
-Sentences with a variable part (SPDX tags, copyright years) are known by pattern.
+Known sentences are a trie over words, which is walked over the words of the whole
+text, the longest known sentence winning. So one is also known across line breaks
+and end marks within it (hard-wrapped texts, commented headers, "v. 2.0") and
+within a longer sentence ("This file is licensed under the MIT License"). Line
+breaks and end marks cut a text into pieces; those that a known sentence covers
+count as one sentence, pieces without a letter or digit (comment signs, rules)
+are none.
+
+SPDX tags give each licence of their expression, as it is spelled there or, for a
+licence of the rules, as its rule spells it. Copyright lines are known by pattern.
 Defined cases: null and empty texts have no sentences and no licence; rows are
 scanned as they come, so repeated rows and null ids are kept; other columns are
 ignored. Whole texts are scanned, in one map without a shuffle.
@@ -51,6 +55,16 @@ SENTENCES = {
     "gpl.received": ["you should have received a copy of the gnu general public license along with this program"],
     "mpl-2.0.subject": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
     "mpl-2.0.copy": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"],
+    "lgpl.free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl.hope": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "gpl-2.free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "agpl.free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "bsl-1.0.grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "bsl-1.0.notice": ["distributed under the boost software license version 1 0"],
+    "zlib.asis": ["this software is provided as is without any express or implied warranty"],
+    "zlib.permission": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "epl-2.0.notice": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"],
+    "wtfpl.notice": ["do what the fuck you want to public license"],
     "unlicense.public": ["this is free and unencumbered software released into the public domain"],
     "cc-by-4.0.notice": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "cc-by-sa-4.0.notice": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
@@ -58,7 +72,8 @@ SENTENCES = {
     "cc0-1.0.notice": ["licensed under cc0 1 0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
     "reserved": ["all rights reserved"],
 }
-PATTERNS = [(r"spdx license identifier ([a-z0-9 ]+)", "spdx"), (r"copyright (?:c )?(?:\d{4} ?)+.*", "copyright")]
+#: A copyright line, and the words before an SPDX expression.
+COPYRIGHT, SPDX = ("copyright", r"copyright (?:c )?(?:\d{4} ?)+.*"), ("spdx", "license", "identifier")
 #: (licence, identifiers in order); earlier rules win among equally long ones.
 RULES = [
     ("Apache-2.0", ("apache-2.0.notice", "apache-2.0.restrict", "apache-2.0.copy", "apache-2.0.asis", "apache-2.0.see")),
@@ -82,6 +97,17 @@ RULES = [
     ("CC0-1.0", ("cc0-1.0.notice",)),
     ("LicenseRef-all-rights-reserved", ("copyright", "reserved")),
     ("LicenseRef-all-rights-reserved", ("reserved",)),
+    ("LGPL-2.1-or-later", ("lgpl.free", "lgpl.hope")),
+    ("LGPL-2.1-or-later", ("lgpl.free",)),
+    ("GPL-2.0-or-later", ("gpl-2.free", "gpl.hope")),
+    ("GPL-2.0-or-later", ("gpl-2.free",)),
+    ("AGPL-3.0-or-later", ("agpl.free", "gpl.hope")),
+    ("AGPL-3.0-or-later", ("agpl.free",)),
+    ("Zlib", ("zlib.asis", "zlib.permission")),
+    ("BSL-1.0", ("bsl-1.0.grant",)),
+    ("BSL-1.0", ("bsl-1.0.notice",)),
+    ("EPL-2.0", ("epl-2.0.notice",)),
+    ("WTFPL", ("wtfpl.notice",)),
 ]
 GAP = 2
 # End of the fixed values.
@@ -89,9 +115,9 @@ GAP = 2
 _END = re.compile(r"[.!?;]+(?=[\s\"')\]]|$)|[\r\n]+")
 _TOKEN = re.compile(r"[a-z0-9]+")
 _KNOWN = {s: k for k, v in SENTENCES.items() for s in v}
-_SHAPES = [(re.compile(p), k) for p, k in PATTERNS]
-#: A sentence is looked at closely only if its first word begins a known one.
-_FIRST = {s.split(" ", 1)[0] for s in _KNOWN} | {"spdx", "copyright"}
+_COPYRIGHT = re.compile(COPYRIGHT[1])
+_EXPRESSION = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+_SPELLED = {name.lower(): name for name, _ in RULES}
 _ORDER = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i][1]), i))
 
 
@@ -109,46 +135,35 @@ def _trie() -> dict:
 _TRIE = _trie()
 
 
-def sentences(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, sentence) in characters. A line of wrapped licence text joins the next by its lack of an end mark only if it ends in a hyphen or comma."""
+def pieces(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) in characters of what stands between line breaks and end marks."""
     at = 0
     for m in _END.finditer(text):
-        if m[0][0] in "\r\n" and text[at : m.start()].rstrip().endswith((",", "-")):
-            continue
-        if text[at : m.start()].strip():
-            yield at, m.start(), text[at : m.start()]
+        if not text[at : m.start()].isspace() and m.start() > at:
+            yield at, m.start()
         at = m.end()
     if text[at:].strip():
-        yield at, len(text), text[at:]
-
-
-def identify(words: list[str]) -> str | None:
-    if not words or words[0] not in _FIRST:
-        return None
-    norm = " ".join(words)
-    found = _KNOWN.get(norm)
-    if found is None:
-        for p, k in _SHAPES:
-            if m := p.fullmatch(norm):
-                return f"spdx:{'-'.join(m[1].split())}" if k == "spdx" else k
-    return found
+        yield at, len(text)
 
 
-def joined(words: list[list[str]], i: int) -> tuple[int, str | None]:
-    """(end, identifier) of the longest run of pieces from ``i`` that makes a known sentence; that of the piece alone if none does."""
-    at, found = _TRIE, (i + 1, identify(words[i]))
-    if not words[i] or words[i][0] not in _TRIE:
-        return found
+def longest(words: list[str], i: int) -> tuple[int, str | None]:
+    """(end, identifier) of the longest known sentence that begins with word ``i``."""
+    at, found = _TRIE, (i, None)
     for j in range(i, len(words)):
-        for w in words[j]:
-            at = at.get(w)
-            if at is None:
-                return found
-        if words[j] and None in at:
+        at = at.get(words[j])
+        if at is None:
+            break
+        if None in at:
             found = j + 1, at[None]
     return found
 
 
+def spdx(tag: str) -> list[str]:
+    """The licences of the expression that follows the colon of a tag."""
+    names = [x for x in _EXPRESSION.findall(tag.partition(":")[2]) if x.upper() not in ("AND", "OR", "WITH")]
+    return [_SPELLED.get(x.lower(), x) for x in names]
+
+
 def match(seq: list[tuple[int, str]]) -> list[tuple[str, str, list[int]]]:
     """(licence, rule, sentence numbers) of a sequence of (sentence number, identifier), by rule order."""
     used: set[int] = set()
@@ -172,7 +187,7 @@ def match(seq: list[tuple[int, str]]) -> list[tuple[str, str, list[int]]]:
                 found.append((name, f"r{r}", [seq[i][0] for i in path]))
     for i, (n, k) in enumerate(seq):
         if k.startswith("spdx:") and i not in used:
-            found.append((k.removeprefix("spdx:"), "spdx", [n]))
+            found += [(x, "spdx", [n]) for x in k.removeprefix("spdx:").split()]
     return sorted(found, key=lambda x: x[2])
 
 
@@ -180,18 +195,45 @@ def scan_text(text: str | None) -> tuple[int, list[tuple[str, str, int, int]]]:
     """(number of sentences, [(licence, rule, start, end)])."""
     if not text:
         return 0, []
-    pieces = list(sentences(text))
-    words = [_TOKEN.findall(s.lower()) for _, _, s in pieces]
-    n, i, place, seq, spans = 0, 0, 0, [], {}
-    while i < len(pieces):
-        end, k = joined(words, i)
-        if k:
-            seq.append((place, k))
-            spans[place] = pieces[i][0], pieces[end - 1][1]
-        if words[i] or any(map(str.isalnum, pieces[i][2])):
-            place += 1
-        n += 1
-        i = end
+    parts = list(pieces(text))
+    words: list[str] = []
+    piece: list[int] = []
+    blank = set()
+    for k, (s, e) in enumerate(parts):
+        own = _TOKEN.findall(text[s:e].lower())
+        if not own and not any(map(str.isalnum, text[s:e])):
+            blank.add(k)
+        words += own
+        piece += [k] * len(own)
+    hits: list[tuple[int, int, str]] = []  # first and last piece, identifier
+    i = 0
+    while i < len(words):
+        if words[i] in _TRIE:
+            end, k = longest(words, i)
+            if k:
+                hits.append((piece[i], piece[end - 1], k))
+                i = end
+                continue
+        if words[i] in ("spdx", "copyright") and (i == 0 or piece[i - 1] < piece[i]):
+            s, e = parts[piece[i]]
+            if words[i] == SPDX[0] and tuple(words[i : i + 3]) == SPDX:
+                if names := spdx(text[s:e]):
+                    hits.append((piece[i], piece[i], "spdx:" + " ".join(names)))
+            elif _COPYRIGHT.fullmatch(" ".join(_TOKEN.findall(text[s:e].lower()))):
+                hits.append((piece[i], piece[i], COPYRIGHT[0]))
+        i += 1
+    # the sentence that each piece belongs to: a known one takes all that it covers
+    joined = {k for s, e, _ in hits for k in range(s + 1, e + 1)}
+    place, n, number = [], 0, -1
+    for k in range(len(parts)):
+        number += k not in joined and k not in blank
+        n += k not in joined
+        place.append(max(0, number))
+    seq, spans = [], {}
+    for s, e, k in hits:
+        seq.append((place[s], k))
+        spans.setdefault(place[s], (parts[s][0], parts[e][1]))
+        spans[place[s]] = spans[place[s]][0], max(spans[place[s]][1], parts[e][1])
     return n, [(name, rule, spans[at[0]][0], spans[at[-1]][1]) for name, rule, at in match(seq)]
 
 

@@ -96,6 +96,16 @@ def queries() -> dict:
 
 _WS = r"[\x20\x09-\x0D]"
 
+OP2_SQL = """
+with recursive v as materialized (select row_number() over () as n, vec_id, label, embedding::double[] as e from embeddings),
+ok as materialized (select * from v where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as materialized (select a.n as x, b.n as y from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.n <> b.n
+                   where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach(n, m) as (select n, n from v union select r.n, p.y from reach r join p on p.x = r.m)
+select v.vec_id, (select count(*) from p where p.x = v.n) as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join (select r.n, min(w.vec_id) as component_id from reach r join v w on w.n = r.m group by r.n) c using (n)
+"""
+
 OP5_SQL = rf"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
              (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from documents),
@@ -140,4 +150,4 @@ select page_id, host, path, rule, coalesce(said, 'allow') as verdict from m wher
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": OP5_SQL, "op6_warc_archive": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op5_source_mix": OP5_SQL, "op6_warc_archive": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filter": OP8_SQL}
