@@ -25,13 +25,12 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import resident
+from .common import light_batches, resident
 
 #: White space of Unicode (the White_Space property), as a character class.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -79,8 +78,16 @@ class Transducer:
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
-    def reset(self, first: tuple = (0, -1)) -> None:
-        self.states, self.ids, self.steps = [first], {first: 0}, {}
+    def reset(self) -> None:
+        """Forgets all states. A state is a table from byte to (next state, last token so far); None holds its configurations."""
+        self.start: dict = {None: (0, -1)}
+        self.known: dict[tuple, dict] = {(0, -1): self.start}
+
+    def state(self, configurations: tuple) -> dict:
+        found = self.known.get(configurations)
+        if found is None:
+            found = self.known[configurations] = {None: configurations}
+        return found
 
     def merge(self, piece: bytes, until: int = 1) -> list[bytes]:
         """Plain definition, for short byte strings: merge the lowest-ranked pair until none or ``until`` parts are left."""
@@ -115,7 +122,7 @@ class Transducer:
         ok = self.pairs.get(key)
         if ok is not None:
             return ok
-        if len(self.pairs) > 600_000:
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
         ranks, name = self.ranks, self.bytes_of
         a, b, end_a, end_b = s, t, 1 << 60, 1 << 60
@@ -142,9 +149,9 @@ class Transducer:
         self.pairs[key] = ok
         return ok
 
-    def step(self, state: int, c: int) -> int:
-        """Builds one deterministic transition: next state << bits | last token so far."""
-        old, live, done = self.states[state], [], -1
+    def step(self, state: dict, c: int) -> tuple[dict, int]:
+        """Builds one deterministic transition: the next state and the last token so far."""
+        old, live, done = state[None], [], -1
         child, token, inner = self.child, self.token, self.inner
         for k in range(0, len(old), 2):
             to = child.get(old[k] << 8 | c)
@@ -155,28 +162,22 @@ class Transducer:
             if inner[to]:
                 live += (to, old[k + 1])
         live += (0, done)
-        new = tuple(live)
-        i = self.ids.get(new)
-        if i is None:
-            i = self.ids[new] = len(self.states)
-            self.states.append(new)
-        got = self.steps[state << 8 | c] = i << self.bits | done
+        got = state[c] = self.state(tuple(live)), done
         return got
 
     def stream(self, chunks: Iterable[bytes], every: int = 256) -> Iterator[int]:
         """Encodes a piece that arrives in chunks, emitting tokens after bounded lookahead."""
-        state, last, mask = 0, [], (1 << self.bits) - 1
+        state, last = self.start, []
         for chunk in chunks:
             for c in chunk:
-                got = self.steps.get(state << 8 | c)
+                got = state.get(c)
                 if got is None:
-                    if len(self.states) >= self.most:
+                    if len(self.known) >= self.most:
                         self.reset()
-                        state = self._known(kept) if (kept := self._held) else 0
+                        state = self.state(state[None])
                     got = self.step(state, c)
-                state = got >> self.bits
-                self._held = self.states[state]
-                last.append(got & mask)
+                state, t = got
+                last.append(t)
                 if len(last) >= every:
                     n = self._agreed(last, state)
                     yield from self._path(last, n)
@@ -187,26 +188,20 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(piece) > 4096:
+        if len(piece) > 256:
             return list(self.stream((piece,)))
-        if len(self.states) >= self.most:
+        if len(self.known) >= self.most:
             self.reset()
-        known, bits, mask, state, last = self.steps.get, self.bits, (1 << self.bits) - 1, 0, []
+        state, last = self.start, []
         add = last.append
         for c in piece:
-            got = known(state << 8 | c) or self.step(state, c)
-            state = got >> bits
-            add(got & mask)
+            try:
+                state, t = state[c]
+            except KeyError:
+                state, t = self.step(state, c)
+            add(t)
         return self._path(last, len(last))
 
-    _held: tuple = ()
-
-    def _known(self, configurations: tuple) -> int:
-        i = self.ids.setdefault(configurations, len(self.states))
-        if i == len(self.states):
-            self.states.append(configurations)
-        return i
-
     def _path(self, last: list[int], end: int) -> list[int]:
         """The tokens up to a bound, read backwards from the last token there."""
         out, size = [], self.size
@@ -217,9 +212,9 @@ class Transducer:
         out.reverse()
         return out
 
-    def _agreed(self, last: list[int], state: int) -> int:
+    def _agreed(self, last: list[int], state: dict) -> int:
         """The furthest bound that the paths of all live configurations have in common."""
-        starts = {len(last) - self.depth[n] for n in self.states[state][::2]}
+        starts = {len(last) - self.depth[n] for n in state[None][::2]}
         while len(starts) > 1:
             k = max(starts)
             starts.discard(k)
@@ -352,6 +347,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     and ids are encoded as they come; other columns are ignored. Without
     ``with_ids`` the ids column is left out. The work is a map: no shuffle.
     """
+    light_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     rest = "n_tokens long, ids_sha256 string, decoded_bytes long, decoded_sha256 string"
@@ -360,10 +356,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
 
 def _decode(path: str, pattern: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "text": ["".join(c.decode(x)) if x is not None else None for x in pdf["ids"]]})
+        for batch in batches:
+            texts = ["".join(c.decode(x.as_py())) if x.is_valid else None for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
     return run
 
@@ -371,4 +368,4 @@ def _decode(path: str, pattern: str):
 def decode_documents(tokens: DataFrame, path: str, pattern: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of token sequences; null ids give null text."""
     src = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return src.mapInPandas(_decode(path, pattern), f"id {src.schema['id'].dataType.simpleString()}, text string")
+    return src.mapInArrow(_decode(path, pattern), f"id {src.schema['id'].dataType.simpleString()}, text string")

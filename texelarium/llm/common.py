@@ -120,6 +120,17 @@ def discard(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB, where the session has Spark's default of 64 MB.
+
+    Rows hold whole texts here; an executor has a batch several times at once, in
+    the JVM and in each Python worker, and larger ones save no time.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "64m", "67108864", "67108864b"):
+        spark.conf.set(key, "4194304b")
+
+
 def fold(key: str | Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key is fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")), F.lit(0)) % n

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cross_links
-from .common import materialize
+from .common import light_batches, materialize, tidy
 from .components import connected_components
 
 
@@ -212,8 +212,10 @@ def passes_for(rows: int, window: int, threshold: float, missed: float = 1e-3) -
     return max(4, math.ceil(math.log(missed) / math.log(1 - min(agree, 0.999))))
 
 
+@tidy
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, window: int = 32, passes: int | None = None, seed: int = 7, block: int = 256, most_hops: int = 8, cell_block: int = 2048) -> DataFrame:
     """One row per row: (id, n_links, component_id, kept, ball)."""
+    light_batches(vectors.sparkSession)
     half = math.cos(math.acos(threshold) / 2) + 1e-9
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("vec"))
     kind = src.schema["vec"].dataType.simpleString()

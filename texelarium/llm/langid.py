@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import resident, text_slices
+from .common import light_batches, resident, text_slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: With so few parses left, they go on one by one instead of side by side.
@@ -223,6 +223,7 @@ def samples(docs: DataFrame, learn: Column, key: Column, text_col: str = "text",
 
 def identify(docs: DataFrame, learned: dict[str, str], keep: list[str], text_col: str = "text", lang_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
     """``keep`` columns of every row plus the predicted language and its score. A map: no shuffle."""
+    light_batches(docs.sparkSession)
     b = docs.sparkSession.sparkContext.broadcast(Identifier(learned))
     tag = hash(frozenset(learned.items()))
     names = [f"_{i}" for i in range(len(keep))]

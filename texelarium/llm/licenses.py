@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import light_batches
+
 # Sentences of public licence texts and notices, and the rules that they make.
 SENTENCES = {
     "apache-2.0.notice": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"],
@@ -245,5 +247,6 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_sentences, matches array<struct<license, rule, start, end>>), one row per row of ``docs``."""
+    light_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInPandas(_run, f"id {src.schema['id'].dataType.simpleString()}, n_sentences long, matches array<struct<license:string,rule:string,start:long,end:long>>")

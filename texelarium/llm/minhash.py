@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cross_links
-from .common import materialize, release, text_slices, tidy
+from .common import light_batches, materialize, release, text_slices, tidy
 from .components import connected_components
 from .shingles import digest, mix, normalise, shingle_hashes, shingle_set
 
@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     At a similarity of 0.8, a pair shares one of 16 bands of 4 rows with
     probability 0.9998.
     """
+    light_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     signed = materialize(src.mapInArrow(_sign(width, bands, rows, weights), f"id {kind}, node binary, bands array<long>"), "signed")

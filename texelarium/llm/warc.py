@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, text_slices
+from .common import light_batches, materialize, new_path, text_slices
 
 #: At most so many digests that repeat are broadcast (48 bytes each); more take a shuffled join.
 BROADCAST_DIGESTS = 200_000
@@ -95,6 +95,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archive(pages: DataFrame, path: str | None = None, **options) -> str:
     """Writes the archives and returns their folder."""
+    light_batches(pages.sparkSession)
     path = path or new_path(pages.sparkSession, "warc")
     runs = records(pages, **options).mapInArrow(_runs, "value string")
     runs.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", RUNS).text(path)
