@@ -28,9 +28,10 @@ def test_same_rows(spark, duck, data, name):
     names, want = [x[0] for x in cur.description], cur.fetchall()
     assert sorted(df.columns) == sorted(names)
     cols = sorted(names)
-    assert _rows(got, [df.columns.index(c) for c in cols]) == _rows(want, [names.index(c) for c in cols])
+    assert want and _rows(got, [df.columns.index(c) for c in cols]) == _rows(want, [names.index(c) for c in cols])
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows_only(spark, data, name):
-    assert QUERIES[name](spark, data).count() == spark.read.parquet(f"{data}/embeddings.parquet").count()
+    rows = QUERIES[name](spark, data).collect()
+    assert rows and all(r.asDict().get("error") is None for r in rows)

@@ -67,6 +67,12 @@ def decode_b10g11r11(word: Column) -> dict[str, Column]:
     return {"r": small_float(field(word, 0, 11), 6), "g": small_float(field(word, 11, 11), 6), "b": small_float(field(word, 22, 10), 5), "a": _d(1.0)}
 
 
+def decode_half(code: Column) -> Column:
+    """Half floats from their bits: denormals, infinities and NaN included."""
+    size = small_float(code.bitwiseAND(F.lit(0x7FFF).cast("long")), 10)
+    return F.when(code >= 0x8000, -size).otherwise(size)
+
+
 # curves and alpha
 def eotf(c: Column) -> Column:
     """sRGB code value to linear, exact curve, on values clamped to 0..1."""
@@ -93,7 +99,10 @@ def swizzle(lanes: dict[str, Column], pattern: str, integer: bool = False, bits:
     pattern = pattern.lower()
     if len(pattern) != 4 or set(pattern) - set("rgba01"):
         raise ValueError(f"a swizzle is four of rgba01, not {pattern!r}")
-    one = F.lit((1 << bits) - 1).cast("long") if integer else _d(1.0)
+    if integer and bits not in (32, 64):
+        raise ValueError(f"integer lanes have 32 or 64 bits, not {bits}")
+    # the maximum of 64 bits has the pattern of -1
+    one = F.lit((1 << 32) - 1 if bits == 32 else -1).cast("long") if integer else _d(1.0)
     zero = F.lit(0).cast("long") if integer else _d(0.0)
     return {to: {"0": zero, "1": one}.get(p, lanes.get(p)) for to, p in zip(LANES, pattern)}
 
@@ -128,6 +137,28 @@ def pack_a2_10_10_10(r: Column, g: Column, b: Column, a: Column, red_low: bool =
     return put(low, 0).bitwiseOR(put(g, 10)).bitwiseOR(put(high, 20)).bitwiseOR(put(a, 30))
 
 
+def store_field(lane: Column, bits: int, signed_: bool = False) -> Column:
+    """An integer lane clamped to a field of a packed word, as the field's bits."""
+    v = store_sint(lane, bits) if signed_ else store_uint(lane, bits)
+    return v.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+def store_small_float(c: Column, mantissa: int, sign: bool = False) -> Column:
+    """Five exponent bits (bias 15), ties to even; without a sign negative values are 0, what is too large is infinity."""
+    a = F.abs(c)
+    e = sum((F.when(a >= 2.0**k, 1).otherwise(0) for k in range(-13, 17)), F.lit(-14)).cast("long")
+    code = (e + 14) * (1 << mantissa) + F.rint(a * F.pow(_d(2.0), (F.lit(mantissa) - e).cast("double"))).cast("long")
+    top = F.lit(31 << mantissa).cast("long")
+    code = F.when(F.isnan(c), top + 1).when(a >= 2.0**16, top).otherwise(F.least(code, top))
+    if not sign:
+        return F.when((c <= 0) & ~F.isnan(c), F.lit(0).cast("long")).otherwise(code)
+    return code + F.when((c < 0) & ~F.isnan(c), F.lit(1 << mantissa + 5).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def pack_b10g11r11(r: Column, g: Column, b: Column) -> Column:
+    return store_small_float(r, 6) + store_small_float(g, 6) * (1 << 11) + store_small_float(b, 5) * (1 << 22)
+
+
 def pack_e5b9g9r9(r: Column, g: Column, b: Column) -> Column:
     """Shared exponent from the largest channel; adds a half and truncates; bumps the exponent on carry.
 
@@ -145,5 +176,5 @@ def pack_e5b9g9r9(r: Column, g: Column, b: Column) -> Column:
 
 def register_sql(spark) -> None:
     """Makes the curves callable from SQL, as SQL functions (expanded by the optimiser, no Python)."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION srgb_eotf(c DOUBLE) RETURNS DOUBLE RETURN CASE WHEN c <= 0.04045D THEN greatest(c, 0D) / 12.92D ELSE power((least(c, 1D) + 0.055D) / 1.055D, 2.4D) END")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION srgb_oetf(c DOUBLE) RETURNS DOUBLE RETURN CASE WHEN c <= 0.0031308D THEN greatest(c, 0D) * 12.92D ELSE power(least(c, 1D), 1D / 2.4D) * 1.055D - 0.055D END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION srgb_eotf(c DOUBLE) RETURNS DOUBLE RETURN CASE WHEN isnan(c) THEN 0D WHEN c <= 0.04045D THEN greatest(c, 0D) / 12.92D ELSE power((least(c, 1D) + 0.055D) / 1.055D, 2.4D) END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION srgb_oetf(c DOUBLE) RETURNS DOUBLE RETURN CASE WHEN isnan(c) THEN 0D WHEN c <= 0.0031308D THEN greatest(c, 0D) * 12.92D ELSE power(least(c, 1D), 1D / 2.4D) * 1.055D - 0.055D END")

@@ -13,6 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..plans.formats import BY_NAME, normalize
+from . import hdr_etc_astc as more
+from .hdr_etc_astc import CodecError
+
 
 def _bits(values: np.ndarray, width: int) -> np.ndarray:
     """(n, k) small integers to little-endian bit strings as bytes."""
@@ -112,7 +116,7 @@ def decode_bc5(b: np.ndarray) -> np.ndarray:
     return np.dstack((decode_bc4(b[:, :8]), decode_bc4(b[:, 8:])))
 
 
-#: Interpolation weights of four index bits.
+#: Interpolation weights of four index bits.
 WEIGHTS4 = np.array([0, 4, 9, 13, 17, 21, 26, 30, 34, 38, 43, 47, 51, 55, 60, 64])
 
 
@@ -152,7 +156,7 @@ def encode_bc7(px: np.ndarray) -> np.ndarray:
 def decode_bc7(b: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(b, axis=1, bitorder="little").astype(np.int64)
     if (bits[:, :7] != [0, 0, 0, 0, 0, 0, 1]).any():
-        raise ValueError("only mode 6 blocks are decoded")
+        raise CodecError("only mode 6 blocks are decoded")
     take = lambda at, w: (bits[:, at : at + w] << np.arange(w)).sum(axis=1)
     e = [np.stack([take(7 + 14 * k + 7 * s, 7) * 2 + bits[:, 63 + s] for k in range(4)], axis=1) for s in (0, 1)]
     pick = np.stack([take(65, 3), *[take(68 + 4 * i, 4) for i in range(15)]], axis=1)
@@ -162,14 +166,91 @@ def decode_bc7(b: np.ndarray) -> np.ndarray:
 CODECS = {"bc1": (encode_bc1, decode_bc1, 4), "bc2": (encode_bc2, decode_bc2, 4), "bc3": (encode_bc3, decode_bc3, 4), "bc4": (encode_bc4, decode_bc4, 1), "bc5": (encode_bc5, decode_bc5, 2), "bc7": (encode_bc7, decode_bc7, 4)}
 
 
-def tile_surface(data: bytes, width: int, height: int, channels: int, stride: int | None = None) -> np.ndarray:
-    """Rows of a surface to (blocks, 16, channels), clamped to the edge."""
-    stride = stride or width * channels
-    rows = np.frombuffer(data, np.uint8)[: stride * (height - 1) + width * channels]
-    rows = np.concatenate((rows, np.zeros(stride * height - len(rows), np.uint8))).reshape(height, stride)[:, : width * channels].reshape(height, width, channels)
-    rows = np.pad(rows, ((0, -height % 4), (0, -width % 4), (0, 0)), mode="edge")
-    h, w = rows.shape[0] // 4, rows.shape[1] // 4
-    return rows.reshape(h, 4, w, 4, channels).transpose(0, 2, 1, 3, 4).reshape(h * w, 16, channels)
+#: Encoder, decoder, and the type and channels of the pixels, by format without its colour space.
+BLOCKS = {
+    **{f"{n.upper()}{k}_UNORM": (e, d, np.uint8, c) for n, (e, d, c) in CODECS.items() for k in ([""] if n != "bc1" else ["_RGBA"])},
+    "BC1_RGB_UNORM": (encode_bc1, lambda b: decode_bc1(b, True), np.uint8, 4),
+    "BC4_SNORM": (more.encode_bc4s, more.decode_bc4s, np.int8, 1),
+    "BC5_SNORM": (more.encode_bc5s, more.decode_bc5s, np.int8, 2),
+    "BC6H_UFLOAT": (more.encode_bc6h, more.decode_bc6h, np.uint16, 4),
+    "BC6H_SFLOAT": (lambda px: more.encode_bc6h(px, True), lambda b: more.decode_bc6h(b, True), np.uint16, 4),
+    "ETC2_R8G8B8_UNORM": (more.encode_etc1, more.decode_etc1, np.uint8, 4),
+    "ETC2_R8G8B8A8_UNORM": (lambda px: np.column_stack((more.encode_eac(px[:, :, 3]), more.encode_etc1(px))), lambda b: np.dstack((more.decode_etc1(np.ascontiguousarray(b[:, 8:]))[:, :, :3], more.decode_eac(b[:, :8]))).astype(np.uint8), np.uint8, 4),
+    "EAC_R11_UNORM": (lambda px: more.encode_eac(px, True), lambda b: more.decode_eac(b, True), np.uint8, 1),
+    "EAC_R11G11_UNORM": (lambda px: np.column_stack([more.encode_eac(px[:, :, k], True) for k in (0, 1)]), lambda b: np.dstack([more.decode_eac(b[:, 8 * k : 8 * k + 8], True) for k in (0, 1)]), np.uint8, 2),
+}
+
+
+def tile_surface(data: bytes, width: int, height: int, channels: int, stride: int | None = None, dtype: type = np.uint8, block: tuple[int, int] = (4, 4)) -> np.ndarray:
+    """Rows of a surface to (blocks, texels, channels), clamped to the edge; bytes that do not reach the last texel are an error."""
+    tight = width * channels * np.dtype(dtype).itemsize
+    stride = stride or tight
+    if width < 1 or height < 1 or stride < tight or len(data) < stride * (height - 1) + tight:
+        raise CodecError(f"{len(data)} bytes do not hold {width}x{height} pixels of {channels} channels")
+    rows = np.lib.stride_tricks.as_strided(np.frombuffer(data, np.uint8), (height, tight), (stride, 1))
+    rows = np.ascontiguousarray(rows).view(dtype).reshape(height, width, channels)
+    bw, bh = block
+    rows = np.pad(rows, ((0, -height % bh), (0, -width % bw), (0, 0)), mode="edge")
+    h, w = rows.shape[0] // bh, rows.shape[1] // bw
+    return rows.reshape(h, bh, w, bw, channels).transpose(0, 2, 1, 3, 4).reshape(h * w, bh * bw, channels)
+
+
+def untile(px: np.ndarray, width: int, height: int, block: tuple[int, int] = (4, 4)) -> np.ndarray:
+    """(blocks, texels, channels) back to (height, width, channels), without what was clamped."""
+    bw, bh = block
+    h, w = -(-height // bh), -(-width // bw)
+    px = px.reshape(h, w, bh, bw, -1).transpose(0, 2, 1, 3, 4).reshape(h * bh, w * bw, -1)
+    return px[:height, :width]
+
+
+def _block(vk_format: str) -> tuple:
+    base = normalize(vk_format)[0]
+    if base.startswith("ASTC") and base.endswith("_UNORM"):
+        w, h = BY_NAME[base][5:7]
+        return (lambda px: more.encode_astc(px, w, h)), (lambda b: more.decode_astc(b, w, h)), np.uint8, 4
+    if base not in BLOCKS:
+        raise CodecError(f"no codec for {vk_format}")
+    return BLOCKS[base]
+
+
+def resolve_bc7_alpha(px: np.ndarray, mode: str = "auto") -> np.ndarray:
+    """Opaque pixels where that is asked for; auto keeps alpha where any texel of the surface has some."""
+    if mode not in ("auto", "opaque", "alpha"):
+        raise CodecError(f"bc7_alpha is auto, opaque or alpha, not {mode!r}")
+    if mode == "opaque" or mode == "auto" and (px[..., 3] == 255).all():
+        px = px.copy()
+        px[..., 3] = 255
+    return px
+
+
+def encode(data: bytes, width: int, height: int, vk_format: str, options: dict | None = None) -> bytes:
+    """Pixels of the format that the encoder reads to blocks, row of blocks by row."""
+    enc, _, dtype, channels = _block(vk_format)
+    px = tile_surface(data, width, height, channels, dtype=dtype, block=BY_NAME[vk_format][5:7])
+    if vk_format.startswith("BC7"):
+        px = resolve_bc7_alpha(px, (options or {}).get("bc7_alpha", "auto"))
+    return enc(px[:, :, 0] if channels == 1 else px).astype(np.uint8).tobytes()
+
+
+def decode(data: bytes, width: int, height: int, vk_format: str) -> np.ndarray:
+    """Blocks to (height, width, channels) codes: bytes, signed bytes, bits of halves, or eleven-bit values."""
+    dec = _block(vk_format)[1]
+    _, _, _, _, _, bw, bh, size, _ = BY_NAME[vk_format]
+    n = -(-width // bw) * -(-height // bh)
+    if len(data) != n * size:
+        raise CodecError(f"{len(data)} bytes are not the {n} blocks of {width}x{height}")
+    return untile(dec(np.frombuffer(data, np.uint8).reshape(n, size)).reshape(n, bw * bh, -1), width, height, (bw, bh))
+
+
+def decode_surfaces(surfaces: DataFrame, vk_format: str) -> DataFrame:
+    """(image_id, layer, mip, width, height, data): blocks to little-endian codes of all channels; a map."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(data=[(x := decode(d, w, h, vk_format)).astype(x.dtype.newbyteorder("<")).tobytes() for d, w, h in zip(pdf["data"], pdf["width"], pdf["height"])])
+
+    cols = surfaces.select("image_id", "layer", "mip", "width", "height", "data")
+    return cols.mapInPandas(run, cols.schema)
 
 
 def encode_surfaces(surfaces: DataFrame, codec: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Face order +X -X +Y -Y +Z -Z: (column, row) of each face in its atlas.
+#: Face order +X -X +Y -Y +Z -Z, (column, row) of each face in its atlas.
 HORIZONTAL = ((2, 1), (0, 1), (1, 0), (1, 2), (1, 1), (3, 1))
 VERTICAL = ((2, 1), (0, 1), (1, 0), (1, 2), (1, 1), (1, 3))
 
@@ -39,6 +39,23 @@ def split_cross(pixels: DataFrame, n: int, vertical: bool = False) -> DataFrame:
     return out
 
 
+def face_size(width: int, height: int, kind: str) -> int:
+    """The side of a face of an atlas: a strip is 6x1 faces, crosses are 4x3 and 3x4."""
+    across, down = {"strip": (6, 1), "cross": (4, 3), "vertical": (3, 4)}[kind]
+    n = width // across
+    if n < 1 or n * across != width or n * down != height:
+        raise ValueError(f"{width}x{height} pixels are no {kind} of square faces")
+    return n
+
+
+def split_cubemap(pixels: DataFrame, width: int, height: int, kind: str = "auto") -> DataFrame:
+    """Faces of an atlas as layers; auto takes the layout that the ratio of the sides tells."""
+    if kind == "auto":
+        kind = "strip" if width == 6 * height else "cross" if 3 * width == 4 * height else "vertical"
+    n = face_size(width, height, kind)
+    return split_strip(pixels, n) if kind == "strip" else split_cross(pixels, n, kind == "vertical")
+
+
 def tile(pixels: DataFrame, width: int, height: int, block: int = 4) -> DataFrame:
     """Block-major texels (by, bx, ty, tx), clamped to the edge where a block reaches over it.
 

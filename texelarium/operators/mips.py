@@ -1,17 +1,17 @@
-"""Mip chains and alpha coverage on exploded pixels."""
+"""Mip levels and alpha coverage on exploded pixels, as combining aggregates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+import math
+from functools import reduce
 
-#: 2:1 triangle taps at offsets -1..2 around a pair of source texels.
-TRIANGLE = {-1: 0.125, 0: 0.375, 1: 0.375, 2: 0.125}
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from ..functions.resample import FILTERS, full_count
 
-def full_count(width: int, height: int) -> int:
-    return max(width, height, 1).bit_length()
+SUBSAMPLES = 4
 
 
 def dims(width: int, height: int, count: int | None = None) -> list[tuple[int, int]]:
@@ -22,51 +22,85 @@ def dims(width: int, height: int, count: int | None = None) -> list[tuple[int, i
     return [(max(1, width >> k), max(1, height >> k)) for k in range(n)]
 
 
-def box(pixels: DataFrame, keys: list[str], lanes: list[str]) -> DataFrame:
-    """One 2x2 box level: a combining aggregate on the halved coordinates."""
-    at = [F.floor(F.col(c) / 2).cast("int").alias(c) for c in ("y", "x")]
-    return pixels.groupBy(*keys, *at).agg(*[F.avg(c).alias(c) for c in lanes])
+def _pi(x: Column) -> Column:
+    return x * math.pi
+
+
+def weight(name: str, d: Column) -> Column:
+    """A filter's weight at a distance, in the target's texels."""
+    a = F.abs(d)
+    sinc = lambda x: F.when(x == 0, 1.0).otherwise(F.sin(_pi(x)) / _pi(x))
+    cubic = F.when(a < 1, 1.5 * a * a * a - 2.5 * a * a + 1).when(a < 2, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2).otherwise(0.0)
+    return {"triangle": F.greatest(1 - a, F.lit(0.0)), "catmull_rom": cubic, "gaussian": F.exp(-2 * d * d), "lanczos3": F.when(a < 3, sinc(d) * sinc(d / 3)).otherwise(0.0)}[name]
 
 
-def triangle(pixels: DataFrame, keys: list[str], lanes: list[str], width: int, height: int) -> DataFrame:
-    """One level of the triangle filter, weights renormalised at the edges.
+def _outputs(c: str, size: int, to: int, name: str) -> Column:
+    """The target texels of an axis that a source texel counts for, with its weight."""
+    ratio = size / to
+    x = F.col(c).cast("double")
+    if name == "nearest":
+        near = F.sequence(F.greatest(F.floor(x / ratio) - 1, F.lit(0)), F.least(F.floor(x / ratio) + 1, F.lit(to - 1)))
+        return F.transform(F.filter(near, lambda i: F.floor((i + 0.5) * ratio) == F.col(c)), lambda i: F.struct(i.cast("int").alias("at"), F.lit(1.0).alias("w")))
+    stretch = max(ratio, 1.0)
+    reach = FILTERS[name][0] * stretch
+    low, high = F.greatest(F.floor((x - reach - 1) / ratio), F.lit(0)), F.least(F.ceil((x + reach + 1) / ratio), F.lit(to - 1))
+    centre = lambda i: (i + 0.5) * ratio
+    inside = lambda i: (F.col(c) >= F.floor(centre(i) - reach)) & (F.col(c) < F.ceil(centre(i) + reach))
+    return F.transform(F.filter(F.sequence(low, high), inside), lambda i: F.struct(i.cast("int").alias("at"), weight(name, (x + 0.5 - centre(i)) / stretch).alias("w")))
 
-    Each texel is scattered to the (at most four) outputs it counts for, so the
-    gather becomes one combining aggregate instead of joins.
+
+def level(pixels: DataFrame, keys: list[str], lanes: list[str], width: int, height: int, name: str = "triangle") -> DataFrame:
+    """The next level of a chain by one of the five filters, weights normalised over the texels that exist.
+
+    A texel is scattered to the outputs it counts for, so the gather is one
+    combining aggregate instead of joins.
     """
     w, h = max(1, width // 2), max(1, height // 2)
+    spread = pixels.withColumn("_h", F.explode(_outputs("y", height, h, name))).withColumn("_w", F.explode(_outputs("x", width, w, name)))
+    by = F.col("_h.w") * F.col("_w.w")
+    sums = [(F.sum(F.col(c) * by) / F.sum(by)).alias(c) for c in lanes]
+    return spread.groupBy(*keys, F.col("_h.at").alias("y"), F.col("_w.at").alias("x")).agg(*sums)
 
-    def outputs(c: str, size: int):
-        taps = [F.struct(F.floor((F.col(c) - k) / 2).cast("int").alias("at"), F.lit(v).alias("w"), ((F.col(c) - k) % 2 == 0).alias("ok")) for k, v in TRIANGLE.items()]
-        return F.filter(F.array(*taps), lambda t: t["ok"] & (t["at"] >= 0) & (t["at"] < size))
 
-    spread = pixels.withColumn("_h", F.explode(outputs("y", h))).withColumn("_w", F.explode(outputs("x", w)))
-    weight = F.col("_h.w") * F.col("_w.w")
-    sums = [(F.sum(F.col(c) * weight) / F.sum(weight)).alias(c) for c in lanes]
-    return spread.groupBy(*keys, F.col("_h.at").alias("y"), F.col("_w.at").alias("x")).agg(*sums)
+def chain(pixels: DataFrame, keys: list[str], lanes: list[str], width: int, height: int, count: int | None = None, name: str = "triangle") -> DataFrame:
+    """All levels, ``mip`` being the number; each is made from the one before."""
+    sizes = dims(width, height, count)
+    levels = [pixels.select(*keys, "y", "x", *lanes)]
+    for w, h in sizes[:-1]:
+        levels.append(level(levels[-1], keys, lanes, w, h, name))
+    return reduce(DataFrame.unionByName, [d.withColumn("mip", F.lit(k)) for k, d in enumerate(levels)])
+
 
+def coverage_share(pixels: DataFrame, keys: list[str], alpha: str, width: int, height: int, cutoff: float) -> DataFrame:
+    """(keys, passing, share): of the 16 bilinear subsamples of each texel, those with alpha at or above the cutoff.
 
-def chain(pixels: DataFrame, keys: list[str], lanes: list[str], width: int, height: int, count: int | None = None) -> DataFrame:
-    """All box levels, ``mip`` being the level. Levels come straight from level 0, so their plans do not nest."""
-    out = None
-    for k, _ in enumerate(dims(width, height, count)):
-        at = [F.least(F.shiftright(F.col(c), k), F.lit(max(1, s >> k) - 1)).cast("int").alias(c) for c, s in (("y", height), ("x", width))]
-        level = pixels.groupBy(*keys, *at).agg(*[F.avg(c).alias(c) for c in lanes]).withColumn("mip", F.lit(k))
-        out = level if out is None else out.unionByName(level)
-    return out
+    Each texel is scattered to the subsamples that it counts for, up to three
+    quarters of a texel away; edges repeat, so an edge texel counts twice there.
+    """
+    a = F.when(F.isnan(F.col(alpha)), 0.0).otherwise(F.least(F.greatest(F.col(alpha).cast("double"), F.lit(0.0)), F.lit(1.0)))
 
+    def samples(c: str, size: int) -> Column:
+        own = F.sequence(F.greatest(F.col(c) * SUBSAMPLES - 4, F.lit(0)), F.least(F.col(c) * SUBSAMPLES + 7, F.lit(size * SUBSAMPLES - 1)))
+        at = lambda s: (s + 0.5) / SUBSAMPLES - 0.5
+        low = lambda s: F.floor(at(s))
+        edge = lambda i: F.least(F.greatest(i, F.lit(0)), F.lit(size - 1))
+        w = lambda s: F.when(edge(low(s)) == F.col(c), 1 - (at(s) - low(s))).otherwise(0.0) + F.when(edge(low(s) + 1) == F.col(c), at(s) - low(s)).otherwise(0.0)
+        return F.filter(F.transform(own, lambda s: F.struct(s.alias("at"), w(s).alias("w"))), lambda t: t["w"] > 0)
 
-def coverage_share(pixels: DataFrame, keys: list[str], alpha: str, cutoff: float) -> DataFrame:
-    return pixels.groupBy(*keys).agg(F.avg((F.col(alpha) >= cutoff).cast("double")).alias("share"))
+    spread = pixels.withColumn("_a", a).withColumn("_h", F.explode(samples("y", height))).withColumn("_w", F.explode(samples("x", width)))
+    value = spread.groupBy(*keys, F.col("_h.at").alias("sy"), F.col("_w.at").alias("sx")).agg(F.sum(F.col("_a") * F.col("_h.w") * F.col("_w.w")).alias("v"))
+    passing = F.sum((F.col("v") >= cutoff).cast("long"))
+    return value.groupBy(*keys).agg(passing.alias("passing"), (passing / F.count("*")).alias("share"))
 
 
-def coverage_histogram(pixels: DataFrame, keys: list[str], alpha: str, bins: int) -> DataFrame:
-    """Bins of alpha with running counts from the top: how many texels pass each cutoff."""
-    b = F.least(F.floor(F.col(alpha) * bins), F.lit(bins - 1)).cast("int").alias("bin")
-    hist = pixels.groupBy(*keys, b).agg(F.count("*").alias("n"))
-    return hist.withColumn("passing", F.sum("n").over(W.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)))
+def running(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bin, n) with the number of thresholds up to and with each bin: what passes at its upper edge."""
+    return histogram.withColumn("through", F.sum("n").over(W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
 
 
-def apply_scale(alpha, scale):
-    """Alpha times scale, at most one."""
-    return F.least(alpha * scale, F.lit(1.0))
+def apply_scale(lanes: dict[str, Column], scale: Column) -> dict[str, Column]:
+    """Alpha times scale, at most one, and the premultiplied colours in the same ratio; clear texels stay."""
+    a = lanes["a"]
+    to = F.least(a * scale, F.lit(1.0))
+    ratio = F.when(a > 0, to / a).otherwise(1.0)
+    return {k: F.when(a > 0, to).otherwise(a) if k == "a" else v * ratio for k, v in lanes.items()}

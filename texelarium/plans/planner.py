@@ -41,6 +41,9 @@ class Settings:
     mipmap: bool = False
     mip_count: int | None = None
     alpha_cutoff: float | None = None
+    mip_filter: str = "triangle"
+    #: Settings of the encoder: bc7_alpha (auto, opaque, alpha), channel_weights, perceptual.
+    options: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -49,16 +52,46 @@ class Plan:
     lane: str = "f32"
     encoder: str | None = None
     target: Desc | None = field(default=None)
+    #: What the store step writes: the target, or what the encoder reads.
+    stored: str | None = None
+    load_alpha: str = "opaque"
+    store_alpha: str = "opaque"
 
 
-def _lane(family: str, name: str) -> str:
-    wide = "64" in name
-    if family in ("UINT", "SINT"):
-        return "u64" if wide else "u32"
-    return "f64" if wide else "f32"
+#: The pixels that encoders of a block format read.
+ENCODER_INPUT = {"BC4_UNORM": "R8_UNORM", "BC4_SNORM": "R8_SNORM", "BC5_UNORM": "R8G8_UNORM", "BC5_SNORM": "R8G8_SNORM", "BC6H_UFLOAT": "R16G16B16A16_SFLOAT", "BC6H_SFLOAT": "R16G16B16A16_SFLOAT", "EAC_R11_UNORM": "R8_UNORM", "EAC_R11G11_UNORM": "R8G8_UNORM"}
 
 
-def plan(source: Desc, settings: Settings) -> Plan:
+def required_input(vk_format: str) -> str:
+    return ENCODER_INPUT.get(formats.normalize(vk_format)[0], "R8G8B8A8_UNORM")
+
+
+def alpha_routes(keeps_alpha: bool, target: str, source: str) -> tuple[str, str]:
+    """(alpha mode of the load, of the store); without a target alpha at most one of them touches colours."""
+    if keeps_alpha:
+        return source, target
+    if target == "premultiplied":
+        return ("straight" if source == "straight" else "opaque"), "opaque"
+    return "opaque", ("straight" if source == "premultiplied" else "opaque")
+
+
+def families_compatible(source: str, target: str) -> bool:
+    """Integers and floats do not convert into each other; blocks need the float side."""
+    kinds = [formats.classify(x) for x in (source, target)]
+    return None not in kinds and len({k.family in ("uint", "sint") for k in kinds}) == 1
+
+
+def effective_cutoff(settings: Settings, keeps_alpha: bool, source: str, target: str) -> float | None:
+    """The alpha cutoff, or none where it does not apply; then its range does not matter."""
+    cutoff = settings.alpha_cutoff
+    if cutoff is None or not settings.mipmap or not keeps_alpha or "opaque" in (source, target):
+        return None
+    if not 0 < cutoff <= 1:
+        raise ConvertError("an alpha cutoff lies in (0, 1]")
+    return cutoff
+
+
+def plan(source: Desc, settings: Settings, volume: bool = False) -> Plan:
     """The steps of a conversion in order; raises ConvertError where it is not allowed."""
     source.validate()
     srgb = source.srgb if settings.srgb is None else settings.srgb
@@ -66,40 +99,38 @@ def plan(source: Desc, settings: Settings) -> Plan:
     name = formats.with_color_space(settings.vk_format or source.vk_format, srgb)
     target = Desc(name, srgb, alpha)
     target.validate()
-    s, t = formats.BY_NAME[source.vk_format], formats.BY_NAME[name]
-    if settings.alpha_cutoff is not None and settings.mipmap and not 0 < settings.alpha_cutoff <= 1:
-        raise ConvertError("an alpha cutoff lies in (0, 1]")
+    encoder, stored = None, name
+    if formats.BY_NAME[name][8] and name != source.vk_format:
+        encoder = settings.encoder if settings.encoder not in (None, "auto") else formats.auto_encoder(name)
+        if encoder is None or name not in formats.ENCODERS.get(encoder, ()):
+            raise ConvertError(f"no encoder writes {name}" if encoder is None else f"{encoder} does not write {name}")
+        stored = required_input(name)
+    keeps = formats.has_alpha(name)
+    if formats.has_alpha(source.vk_format) and not keeps and alpha == "straight" and not settings.allow_discarding_alpha:
+        log.warning("alpha of %s is discarded by %s", source.vk_format, name)
+    cutoff = effective_cutoff(settings, keeps, source.alpha, alpha)
     # identity: also an identity swizzle counts as work
     if source == target and settings.swizzle is None and not settings.mipmap:
-        return Plan(("passthrough",), target=target)
-    if s[8]:
+        return Plan(("passthrough",), target=target, stored=name)
+    if formats.BY_NAME[source.vk_format][8]:
         raise ConvertError("block-compressed input cannot be processed again")
-    if t[3] < 4 and s[3] == 4 and source.alpha != "opaque" and not settings.allow_discarding_alpha:
-        log.warning("alpha of %s is discarded by %s", source.vk_format, name)
-    lane = _lane(s[2], source.vk_format)
-    integer, to_integer = s[2] in ("UINT", "SINT"), t[2] in ("UINT", "SINT")
-    if integer != to_integer:
+    if volume:
+        raise ConvertError("3D textures pass through only")
+    lane = formats.lane_type(source.vk_format, stored)
+    if not families_compatible(source.vk_format, stored):
         raise ConvertError("integer and float formats do not convert into each other")
+    integer = lane.startswith("u")
     if integer and (settings.mipmap or srgb != source.srgb or alpha != source.alpha):
         raise ConvertError("integer formats take no mipmaps and no change of colour space or alpha")
-    if lane == "f64" and settings.mipmap:
-        raise ConvertError("64-bit floats take no mipmaps")
-    steps = ["load"]
-    if not integer:
-        keeps = t[3] == 4
-        steps += ["eotf"] * source.srgb
-        work = "premultiplied" if source.alpha == "straight" and (keeps or alpha == "premultiplied") else source.alpha
-        steps += ["premultiply"] * (work != source.alpha)
+    if lane == "f64" and (settings.mipmap or srgb or source.srgb):
+        raise ConvertError("64-bit floats take no mipmaps and no sRGB")
+    if settings.mipmap and settings.mip_count == 0:
+        raise ConvertError("a mip chain has at least one level")
+    load_alpha, store_alpha = ("opaque", "opaque") if integer else alpha_routes(keeps, alpha, source.alpha)
+    steps = ["load"] + ["eotf"] * (source.srgb and not integer) + ["premultiply"] * (load_alpha == "straight")
     steps += ["swizzle"] * (settings.swizzle is not None)
     if settings.mipmap:
-        steps += ["mips"] + ["coverage"] * (settings.alpha_cutoff is not None)
-    if not integer:
-        steps += ["unpremultiply"] * (work == "premultiplied" and alpha == "straight") + ["oetf"] * srgb
-    steps.append("store")
-    encoder = None
-    if t[8]:
-        encoder = settings.encoder or formats.auto_encoder(name)
-        if encoder is None or name not in formats.ENCODERS.get(encoder, ()):
-            raise ConvertError(f"no encoder writes {name}" if encoder is None else f"{encoder} does not write {name}")
-        steps += ["tile", "encode"]
-    return Plan(tuple(steps), lane, encoder, target)
+        steps += ["mips"] + ["coverage"] * (cutoff is not None)
+    steps += ["unpremultiply"] * (store_alpha == "straight") + ["oetf"] * (srgb and not integer) + ["store"]
+    steps += ["tile", "encode"] * (encoder is not None)
+    return Plan(tuple(steps), lane, encoder, target, stored, load_alpha, store_alpha)
