@@ -1,7 +1,7 @@
 """Language ID by cross-parsing entropy.
 
-For every language a suffix automaton of labelled text is built, on the driver,
-and packed into integer arrays (rows of transitions overlap in one table, each
+For every language a suffix automaton of labelled text is built, in a task of its
+own, and packed into integer arrays (rows of transitions overlap in one table, each
 entry naming the state that it belongs to). A text is parsed greedily into
 longest phrases that occur in that labelled text, a character that the labelled
 text lacks being a phrase; phrases times log2(labelled size) over the text's
@@ -29,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import light_batches, resident, text_slices
+from .common import light_batches, release, resident, text_slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: With so few parses left, they go on one by one instead of side by side.
@@ -117,29 +117,55 @@ def pack(nodes: list[dict[int, int]], letters: int, tries: int = 32) -> tuple[np
     return np.array(base, np.int32), owner[:last], to[:last]
 
 
+def build(text: str, letters: list[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of states, base, owner, to, the root's transitions by letter) of the automaton of one language's text."""
+    ids = {c: k + 1 for k, c in enumerate(letters)}  # 0: a character that no sample has
+    nodes = suffix_automaton([ids[c] for c in text])
+    root = np.zeros(len(letters) + 1, np.int32)
+    for c, t in nodes[0].items():
+        root[c] = t
+    return len(nodes), *pack(nodes, len(letters)), root
+
+
+def _build(letters: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                n, *arrays = build(text, letters)
+                cols = [pa.array([lang]), pa.array([n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)]
+                yield pa.RecordBatch.from_arrays(cols, names=["lang", "n", "base", "owner", "to", "root"])
+
+    return run
+
+
 class Identifier:
     """The packed automata of all languages in common tables; a state's number tells its language."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], spark: SparkSession | None = None):
+        """Builds the automata, in Spark tasks where a session is given."""
         samples = {k: t for k, t in sorted(samples.items()) if t.strip()}
         self.langs = list(samples)
         self.bits = np.array([math.log2(max(2, len(t))) for t in samples.values()])
         seen = sorted(set().union(*samples.values())) if samples else []
         self.codes = np.array([ord(c) for c in seen], np.uint32)
-        ids = {c: k + 1 for k, c in enumerate(seen)}  # 0: a character that no sample has
-        parts, states, slots, roots = [], 0, 0, np.zeros((len(seen) + 1, len(samples)), np.int32)
-        for k, text in enumerate(samples.values()):
-            nodes = suffix_automaton([ids[c] for c in text])
-            base, owner, to = pack(nodes, len(seen))
-            parts.append((base + slots, np.where(owner >= 0, owner + states, -1).astype(np.int32), to + np.int32(states)))
-            roots[:, k] = states
-            for c, t in nodes[0].items():
-                roots[c, k] = states + t
-            states, slots = states + len(nodes), slots + len(owner)
+        if spark is not None and samples:
+            few = spark.createDataFrame(list(samples.items()), "lang string, text string").repartition(len(samples))
+            rows = few.mapInArrow(_build(seen), "lang string, n long, base binary, owner binary, to binary, root binary").collect()
+            built = {r["lang"]: (r["n"], *(np.frombuffer(r[c], np.int32) for c in ("base", "owner", "to", "root"))) for r in rows}
+        else:
+            built = {lang: build(text, seen) for lang, text in samples.items()}
+        bases, tables, states, slots, roots = [], [], 0, 0, np.zeros((len(seen) + 1, len(samples)), np.int32)
+        for k, lang in enumerate(samples):
+            n, base, owner, to, root = built.pop(lang)
+            bases.append(base + np.int32(slots))
+            # one look-up gives the owner and the next state
+            tables.append(np.where(owner >= 0, owner.astype(np.int64) + states, -1) << 32 | (to.astype(np.int64) + states))
+            roots[:, k] = root + states
+            states, slots = states + n, slots + len(owner)
         self.roots = roots
         self.start = roots[0] if samples else np.zeros(0, np.int32)
-        base, owner, to = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(1, np.int32),) * 3
-        self.base, self.table = base, owner.astype(np.int64) << 32 | to  # one look-up gives both
+        self.base, self.table = (np.concatenate(x) if x else np.zeros(1, np.int64) for x in (bases, tables))
 
     def letters(self, text: str) -> np.ndarray:
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -224,7 +250,7 @@ def samples(docs: DataFrame, learn: Column, key: Column, text_col: str = "text",
 def identify(docs: DataFrame, learned: dict[str, str], keep: list[str], text_col: str = "text", lang_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
     """``keep`` columns of every row plus the predicted language and its score. A map: no shuffle."""
     light_batches(docs.sparkSession)
-    b = docs.sparkSession.sparkContext.broadcast(Identifier(learned))
+    b = docs.sparkSession.sparkContext.broadcast(Identifier(learned, docs.sparkSession))
     tag = hash(frozenset(learned.items()))
     names = [f"_{i}" for i in range(len(keep))]
     kept = [F.col(c).alias(n) for c, n in zip(keep, names)]
