@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     multi = materialize(multi, "multi")
     members = materialize(spread.join(multi, ["band", "key"]).select("band", "key", "node"), "members")
     wanted = members.select("node").distinct()
-    texts = src.filter(F.col("text").isNotNull()).select("text").mapInArrow(_with_node, "node binary, text string").join(wanted, "node").groupBy("node").agg(F.min("text").alias("text"))
+    # copies combine before the shuffle and the join, so a text with many of them is no task's burden
+    texts = src.filter(F.col("text").isNotNull()).select("text").mapInArrow(_with_node, "node binary, text string").filter("node is not null").groupBy("node").agg(F.min("text").alias("text")).join(wanted, "node", "left_semi")
     values = materialize(texts.mapInArrow(_sets(width, weights), "node binary, value array<long>"), "shingles")
     whole, links, tried = members, None, None
     for k in range(rounds):
