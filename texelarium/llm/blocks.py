@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import lean, materialize, release
 
 
 def _jobs(hits: Callable[[list, list], np.ndarray]):
@@ -31,6 +31,7 @@ def _jobs(hits: Callable[[list, list], np.ndarray]):
         a, b = np.minimum(code[x][i], code[y][j]), np.maximum(code[x][i], code[y][j])
         return {(min(names[u], names[v]), max(names[u], names[v])) for u, v in np.unique(np.stack((a, b), 1), axis=0)}
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
         held: pd.DataFrame | None = None

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import light_batches, resident
+from .common import lean, light_batches, resident
 
 #: White space of Unicode (the White_Space property), as a character class.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -315,6 +315,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def _run(path: str, pattern: str, with_ids: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
@@ -356,6 +357,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
 
 def _decode(path: str, pattern: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import light_batches, release, resident, text_slices
+from .common import lean, light_batches, release, resident, text_slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: With so few parses left, they go on one by one instead of side by side.
@@ -128,6 +128,7 @@ def build(text: str, letters: list[str]) -> tuple[int, np.ndarray, np.ndarray, n
 
 
 def _build(letters: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
@@ -258,6 +259,7 @@ def identify(docs: DataFrame, learned: dict[str, str], keep: list[str], text_col
     text = names[keep.index(text_col)] if plain else "_text"
     src = docs.select(*kept, *([] if plain else [F.col(text_col).cast("string").alias("_text")]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = resident(("langid", tag), lambda: b.value)
         for batch in batches:

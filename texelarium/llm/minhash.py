@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cross_links
-from .common import light_batches, materialize, release, text_slices, tidy
+from .common import lean, light_batches, materialize, release, text_slices, tidy
 from .components import connected_components
 from .shingles import digest, mix, normalise, shingle_hashes, shingle_set
 
@@ -105,6 +105,7 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sign(width: int, bands: int, rows: int, weights: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
@@ -120,6 +121,7 @@ def _sign(width: int, bands: int, rows: int, weights: str):
     return run
 
 
+@lean
 def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
@@ -131,6 +133,7 @@ def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(width: int, weights: str):
     """The sorted shingle hashes of each node, with repeats where they weigh."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
@@ -151,6 +154,7 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _verify(threshold: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
