@@ -21,6 +21,7 @@ Vocabulary files are parameters and are read, never copied: rank files hold one
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -40,7 +41,7 @@ _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _ODD = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: The same pieces in the terms of ``re``, which is faster; it needs a text without numerals other than decimal digits.
 _FAST = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_STATES, _PIECES, _LONG = 200_000, 200_000, 256
+_STATES, _PIECES, _LONG, _MET = 100_000, 60_000, 256, (1 << 20) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -79,9 +80,18 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        """Forgets all states. A state is a table from byte to (next state, last token so far); None holds its configurations."""
+        """Forgets all states.
+
+        A state is a table from byte to next state; None holds its configurations,
+        whose last number is the last token so far. States may lead back to
+        themselves, so their memory is collected here, not some time later.
+        """
+        old = hasattr(self, "known")
         self.start: dict = {None: (0, -1)}
         self.known: dict[tuple, dict] = {(0, -1): self.start}
+        self.met = bytearray(_MET + 1)  # hashes of the states met so far; a state is kept when met again
+        if old:
+            gc.collect()
 
     def state(self, configurations: tuple) -> dict:
         found = self.known.get(configurations)
@@ -149,8 +159,8 @@ class Transducer:
         self.pairs[key] = ok
         return ok
 
-    def step(self, state: dict, c: int) -> tuple[dict, int]:
-        """Builds one deterministic transition: the next state and the last token so far."""
+    def step(self, state: dict, c: int) -> dict:
+        """Builds one deterministic transition: the next state."""
         old, live, done = state[None], [], -1
         child, token, inner = self.child, self.token, self.inner
         for k in range(0, len(old), 2):
@@ -162,7 +172,15 @@ class Transducer:
             if inner[to]:
                 live += (to, old[k + 1])
         live += (0, done)
-        got = state[c] = self.state(tuple(live)), done
+        name = tuple(live)
+        got = self.known.get(name)
+        if got is None:
+            at = hash(name) & _MET
+            if not self.met[at]:  # most states are met once only, in one rare piece, and are not kept
+                self.met[at] = 1
+                return {None: name}
+            got = self.known[name] = {None: name}
+        state[c] = got
         return got
 
     def stream(self, chunks: Iterable[bytes], every: int = 256) -> Iterator[int]:
@@ -176,8 +194,8 @@ class Transducer:
                         self.reset()
                         state = self.state(state[None])
                     got = self.step(state, c)
-                state, t = got
-                last.append(t)
+                state = got
+                last.append(state)
                 if len(last) >= every:
                     n = self._agreed(last, state)
                     yield from self._path(last, n)
@@ -196,29 +214,29 @@ class Transducer:
         add = last.append
         for c in piece:
             try:
-                state, t = state[c]
+                state = state[c]
             except KeyError:
-                state, t = self.step(state, c)
-            add(t)
+                state = self.step(state, c)
+            add(state)
         return self._path(last, len(last))
 
-    def _path(self, last: list[int], end: int) -> list[int]:
-        """The tokens up to a bound, read backwards from the last token there."""
+    def _path(self, last: list[dict], end: int) -> list[int]:
+        """The tokens up to a bound, read backwards from the last token there; ``last`` has the state after each byte."""
         out, size = [], self.size
         while end > 0:
-            t, n = size[last[end - 1]]  # one object per token, so that memos stay small
+            t, n = size[last[end - 1][None][-1]]  # one object per token, so that memos stay small
             out.append(t)
             end -= n
         out.reverse()
         return out
 
-    def _agreed(self, last: list[int], state: dict) -> int:
+    def _agreed(self, last: list[dict], state: dict) -> int:
         """The furthest bound that the paths of all live configurations have in common."""
         starts = {len(last) - self.depth[n] for n in state[None][::2]}
         while len(starts) > 1:
             k = max(starts)
             starts.discard(k)
-            starts.add(k - self.size[last[k - 1]][1])
+            starts.add(k - self.size[last[k - 1][None][-1]][1])
         return max(0, starts.pop())
 
 
@@ -271,27 +289,30 @@ class Codec:
         self.machine = Transducer(ranks)
         self.fine = regex.compile(pattern)
         self.known = pattern == _KNOWN
+        #: pieces to ids: those met since the last turn, and those of the turn before
         self.memo: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        self.name = {i: str(i) for i in self.machine.bytes_of}
         #: UTF-8 state to {token: (next state's table, text)}
         self.heard: dict[bytes, dict] = {b"": {}}
 
     def _piece(self, piece: str) -> tuple:
-        """(ids joined by commas, ids) of a piece."""
-        ids = self.machine.encode(piece.encode("utf-8", "replace"))
-        got = ",".join(map(str, ids)), tuple(ids)
+        """Ids of a piece that was not met since the last turn."""
+        ids = self.older.get(piece) or tuple(self.machine.encode(piece.encode("utf-8", "replace")))
         if len(piece) <= _LONG:
             if len(self.memo) >= _PIECES:
-                self.memo.clear()
-            self.memo[piece] = got
-        return got
+                self.older, self.memo = self.memo, {}
+            self.memo[piece] = ids
+        return ids
 
     def parts(self, text: str) -> Iterator[tuple]:
+        """The ids of each piece."""
         get, piece = self.memo.get, self._piece
         pieces = _FAST if self.known and _ODD.isdisjoint(text) else self.fine
         return (get(m) or piece(m) for m in pieces.findall(text))
 
     def encode(self, text: str) -> list[int]:
-        return [t for part in self.parts(text) for t in part[1]]
+        return [t for part in self.parts(text) for t in part]
 
     def _hear(self, table: dict, t: int) -> tuple:
         held = next(k for k, v in self.heard.items() if v is table)
@@ -321,14 +342,10 @@ def _run(path: str, pattern: str, with_ids: bool):
         for batch in batches:
             ids_out, n, digest, back, size = [], [], [], [], []
             for text in (t.as_py() for t in batch.column("text")):
-                ids: list[int] = []
-                said: list[str] = []
-                for s, part in c.parts(text or ""):
-                    said.append(s)
-                    ids += part
+                ids = c.encode(text or "")
                 decoded = "".join(c.decode(ids)).encode("utf-8")
                 n.append(len(ids))
-                digest.append(hashlib.sha256(",".join(said).encode()).hexdigest())
+                digest.append(hashlib.sha256(",".join(map(c.name.__getitem__, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(decoded).hexdigest())
                 size.append(len(decoded))
                 if with_ids:
