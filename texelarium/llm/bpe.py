@@ -8,8 +8,8 @@ is determinised lazily: a deterministic state is the list of live
 configurations, built when a text first needs it, and each step outputs the last
 token of the encoding so far. A token is emitted as soon as the paths of all live
 configurations agree on it, which takes a lookahead of about the longest token.
-Memory is bounded: the state table and the memo of pieces are emptied when they
-reach their limits.
+Memory is bounded: a state is kept once it is met a second time, the state table
+is emptied at its limit, and pieces are forgotten a turn after they were last met.
 
 Decoding is streaming: an incremental UTF-8 state machine (malformed bytes
 become U+FFFD) whose steps over whole tokens are remembered per (state, token).
