@@ -409,6 +409,43 @@ def test_toxicity_separates_and_joins_agree(spark):
     assert np.mean(hit) > 0.97
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """The counts have every labelled text, also where ordinary ones are many, and the curve has the evidence of each."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(240):
+        words, toxic = [f"w{rng.randint(0, 30)}" for _ in range(rng.randint(2, 12))], int(k % 12 == 0)
+        rows.append((k, " ".join(words + ["vile"] * toxic), toxic))
+    rows += [(240, rows[0][1], 1), (241, rows[1][1], 0)]  # equal texts of a class count once
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    counted, curves, entries, logistic = [], [], toxicity.entries, toxicity.logistic
+    monkeypatch.setattr(toxicity, "entries", lambda c, **o: (counted.append({(r["a"], r["b"]): (r["t"], r["o"]) for r in c.collect()}), entries(c, **o))[1])
+    monkeypatch.setattr(toxicity, "logistic", lambda x, *o: (curves.append(len(x) if isinstance(x, np.ndarray) else x.count()), logistic(x, *o))[1])
+    learn = F.col("doc_id") % 3 != 1
+    scorer = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), learn)
+    want, texts = {}, {(t, y) for k, t, y in rows if k % 3 != 1}
+    for text, y in texts:
+        w = np.concatenate((toxicity.START, toxicity.tokens(text))).view(np.int64).tolist()
+        for ab in set(zip(w, w[1:])):
+            t, o = want.get(ab, (0, 0))
+            want[ab] = (t + y, o + 1 - y)
+    assert counted[0] == want and curves == [len(texts)]
+    # the models of the halves add up to all
+    halves = [{ab: n for ab, n in c.items()} for c in counted[1:]]
+    assert len(halves) == 2 and {ab: tuple(sum(h.get(ab, (0, 0))[k] for h in halves) for k in (0, 1)) for ab in want} == want
+    assert scorer.weights is not None
+
+
+def test_toxicity_curve_is_the_plain_logistic(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    y = (x @ [2.0, -1.0, 0.5] + rng.normal(size=300) > 0.3).astype(int)
+    df = spark.createDataFrame([(int(k), *map(float, v)) for k, v in zip(y, x)], "toxic int, x0 double, x1 double, x2 double")
+    w, full = toxicity.logistic(df), np.column_stack((np.ones(300), x))
+    p = 1 / (1 + np.exp(-full @ w))
+    assert np.abs(full.T @ (p - y) + 1e-2 * w).max() < 1e-6  # the gradient of the penalised likelihood
+
+
 @pytest.mark.parametrize("lang", [None, "und", "en"])
 def test_language_stage_keeps_texts_with_letters(spark, lang):
     rows = [(k, "some plain words é", lang, "s", 18) for k in range(20)] + [(20, "123 !!", lang, "s", 6), (21, None, lang, "s", 0), (22, "", lang, "s", 0)]

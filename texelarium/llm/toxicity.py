@@ -23,14 +23,14 @@ over its strongest words, so that a toxic passage is found in a long text. A
 logistic curve turns this into a score of 0 to 1 and is set to the share of toxic
 labels among all labelled rows that may be learned from.
 
-What is learned from, all whole texts: all toxic rows, and ``ordinary_per_toxic``
-times as many ordinary ones by hash, so the counts grow with the labels. Equal
-texts of a class count once. Every fifth text by hash is not counted; the curve is
-fitted on at most ``curve_rows`` of these a class (on all texts where these lack a
-class). Counting, discounting and normalising are aggregates and joins; the driver
-sees a few sums, the curve's three numbers a text and, up to ``most_entries``
-entries, the kept model, which is then broadcast. A larger model stays in tables
-and scores by joins, with the same result.
+All labelled rows that may be learned from are, as whole texts: the model counts
+each of them, and the curve is fitted on each of them. Equal texts of a class count
+once. The curve takes the evidence of a text from a model that does not count it:
+texts fall into two halves by hash, and a model of each half is applied to the
+other (the model of all texts to all, where a half lacks a class). Counting, discounting, normalising and the curve's
+Newton steps are aggregates and joins; the driver sees a few sums and, up to
+``most_entries`` entries, the kept model, which is then broadcast. A larger model
+stays in tables and scores by joins, with the same result.
 
 Defined cases: null and empty texts have no evidence and get the curve's value
 there; several labels of one id count as their maximum; without labelled texts
@@ -39,22 +39,25 @@ of both classes all scores are 0. Repeated rows are scored as they come.
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import light_batches, materialize, release, text_slices
+from .common import give_back, light_batches, materialize, release, text_slices, tidy
 from .shingles import digest, mix, normalise, word_hashes
 
 #: Stands before the first word of a text.
 START = np.zeros(1, np.uint64)
-WINDOW, TOP, HELD = 8, 3, 5
-#: Tables of words up to this many rows (about 60 bytes each) are broadcast to the counts; more take shuffled joins.
+WINDOW, TOP = 8, 3
+#: Counts of a bigram: ordinary and toxic texts of the first and of the second half.
+KINDS = ("o0", "t0", "o1", "t1")
+#: Tables of words up to this many rows (about 60 bytes each) are broadcast to the counts; more take shuffled joins. Words of one bigram are in none: what is known of them is in its row.
 BROADCAST_WORDS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,14 +120,23 @@ class Model:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
-    """Newton's method for ridge-regularised logistic regression; the first weight is the bias."""
-    x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
+def logistic(x: DataFrame, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
+    """Newton's method for ridge-regularised logistic regression of ``toxic`` on the evidence of all rows; the first weight is the bias.
+
+    A step is one aggregate; the driver sees its sums.
+    """
+    cols = [F.lit(1.0), F.col("x0"), F.col("x1"), F.col("x2")]
+    at = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    w = np.zeros(len(cols))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
+        z = sum((c * float(v) for c, v in zip(cols[1:], w[1:])), F.lit(float(w[0])))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+        sums = [F.sum((F.col("p") - F.col("toxic")) * c) for c in cols] + [F.sum((F.col("p") * (1 - F.col("p")) + 1e-9) * cols[i] * cols[j]) for i, j in at]
+        got = np.array(x.withColumn("p", p).agg(*sums).first(), float)
+        grad, hess = got[: len(cols)] + ridge * w, ridge * np.eye(len(cols))
+        for (i, j), v in zip(at, got[len(cols) :]):
+            hess[i, j] += v
+            hess[j, i] = hess[i, j]
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
@@ -158,21 +170,20 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams of a few megabytes of texts, with the number of toxic and of ordinary texts that have them."""
+    """Bigrams of a few megabytes of texts, with the number of toxic and of ordinary texts of each half that have them."""
     release()
     for batch in batches:
         for i, _, texts in text_slices(batch.column("_text"), 1 << 22):
-            toxic, parts = batch.column("toxic").slice(i, len(texts)).to_pylist(), []
-            for text, y in zip(texts, toxic):
+            kind, parts = batch.column("kind").slice(i, len(texts)).to_pylist(), []
+            for text, k in zip(texts, kind):
                 w = np.concatenate((START, tokens(text)))
-                parts.append(np.unique(np.column_stack((w[:-1], w[1:], np.full(len(w) - 1, y, np.uint64))), axis=0))
+                parts.append(np.unique(np.column_stack((w[:-1], w[1:], np.full(len(w) - 1, k, np.uint64))), axis=0))
             rows = np.concatenate(parts)
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             new = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))) if len(rows) else np.zeros(0, int)
-            both = np.diff(np.append(new, len(rows)))
-            yes = np.add.reduceat(rows[:, 2].astype(np.int64), new) if len(new) else new
-            cols = [pa.array(rows[new, k].view(np.int64)) for k in (0, 1)] + [pa.array(yes), pa.array(both - yes)]
-            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "t", "o"])
+            cols = [pa.array(rows[new, k].view(np.int64)) for k in (0, 1)]
+            cols += [pa.array(np.add.reduceat((rows[:, 2] == k).astype(np.int64), new) if len(new) else new) for k in range(4)]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", *KINDS])
 
 
 def _off(c: Column, d: list[float]) -> Column:
@@ -195,28 +206,40 @@ def entries(counts: DataFrame, base: float = 10.0, prior: float = 1000.0, concen
     left = counts.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("types"), *[F.sum((F.col(c) > 0).cast("long")).alias(f"left_{c}") for c in "to"])
     left = materialize(left, "left")
     e = {c: discounts(n) for c, n in _histogram(left, "left_t", "left_o").items()}
-    total = left.agg(F.sum("types").alias("types"), F.count("*").alias("n"), *[F.sum(f"left_{c}").alias(f"left_{c}") for c in "to"], *[F.sum(_off(F.col(f"left_{c}"), e[f"left_{c}"])).alias(f"off_{c}") for c in "to"]).first()
+    total = left.agg(F.sum("types").alias("types"), F.count("*").alias("n"), F.sum((F.col("types") > 1).cast("long")).alias("many"), *[F.sum(f"left_{c}").alias(f"left_{c}") for c in "to"], *[F.sum(_off(F.col(f"left_{c}"), e[f"left_{c}"])).alias(f"off_{c}") for c in "to"]).first()
     floor = total["types"] + base * (total["n"] + 1)
-    shared = (F.col("types") + base) / floor
     keep = {c: (total[f"off_{c}"] + prior, total[f"left_{c}"] + prior) for c in "to"}
-    words = left.withColumn("shared", shared)
+    unknown = math.log(keep["t"][0] / keep["t"][1]) - math.log(keep["o"][0] / keep["o"][1])
+    words = left.withColumn("shared", (F.col("types") + base) / floor)
     for c in "to":
         words = words.withColumn(f"lift_{c}", ((F.col(f"left_{c}") - _off(F.col(f"left_{c}"), e[f"left_{c}"])) / F.col("shared") + keep[c][0]) / keep[c][1])
     words = words.select("w", "types", "shared", "lift_t", "lift_o")
-    unknown = math.log(keep["t"][0] / keep["t"][1]) - math.log(keep["o"][0] / keep["o"][1])
-    fit = F.broadcast if total["n"] <= BROADCAST_WORDS else lambda df: df
-    with_word = counts.join(fit(words.withColumnRenamed("w", "b").drop("types")), "b")
-    rest = F.col("c") - _off(F.col("c"), d["c"])
-    sums = [F.sum(c).alias(f"m_{c}") for c in "toc"] + [F.sum(_off(F.col(c), d[c])).alias(f"d_{c}") for c in "toc"] + [F.sum(rest * F.col(f"lift_{c}")).alias(f"z_{c}") for c in "to"]
-    contexts = with_word.groupBy("a").agg(*sums)
+    fit = F.broadcast if total["many"] <= BROADCAST_WORDS else lambda df: df
+    with_word = counts.join(fit(words.filter("types > 1").withColumnRenamed("w", "b").drop("types")), "b", "left")
+    # the word of one bigram has that bigram's classes
+    once = (1 + base) / floor
+    lift = {c: [((k - e[f"left_{c}"][k]) / once + keep[c][0]) / keep[c][1] for k in (0, 1)] for c in "to"}
+    own = {f"lift_{c}": F.coalesce(f"lift_{c}", F.when(F.col(c) > 0, lift[c][1]).otherwise(lift[c][0])) for c in "to"}
+    with_word = with_word.withColumns({"shared": F.coalesce("shared", F.lit(once)), **own, **{f"off_{c}": _off(F.col(c), d[c]) for c in "toc"}})
+    rest = F.col("c") - F.col("off_c")
+    left_over = {c: (F.col(f"d_{c}") + concentration) / (F.col(f"m_{c}") + concentration) / ((F.col(f"z_{c}") + F.col("d_c")) / F.col("m_c")) for c in "to"}
+    sums = [F.sum(c).alias(f"m_{c}") for c in "toc"] + [F.sum(f"off_{c}").alias(f"d_{c}") for c in "toc"] + [F.sum(rest * F.col(f"lift_{c}")).alias(f"z_{c}") for c in "to"]
+    contexts = with_word.groupBy("a").agg(F.count("*").alias("n"), *sums)
     for c in "to":  # what a class's counts leave, over the normaliser of its tilted backoff
-        contexts = contexts.withColumn(f"k_{c}", (F.col(f"d_{c}") + concentration) / (F.col(f"m_{c}") + concentration) / ((F.col(f"z_{c}") + F.col("d_c")) / F.col("m_c")))
-    contexts = materialize(contexts.withColumn("context", F.log("k_t") - F.log("k_o")), "contexts")
+        contexts = contexts.withColumn(f"k_{c}", left_over[c])
+    contexts = materialize(contexts.withColumn("context", F.log("k_t") - F.log("k_o")).drop("d_t", "d_o", "z_t", "z_o"), "contexts")
+    many = contexts.filter("n > 1").drop("n", "context", "m_c")
+    fit = F.broadcast if many.count() <= BROADCAST_WORDS else lambda df: df
+    pairs = with_word.join(fit(many), "a", "left")
+    # the context of one bigram has that bigram's sums
+    alone = {f"k_{c}": (F.col(f"off_{c}") + concentration) / (F.col(c) + concentration) * F.col("c") / (rest * F.col(f"lift_{c}") + F.col("off_c")) for c in "to"}
+    alone |= {f"m_{c}": F.col(c) for c in "to"} | {"d_c": F.col("off_c")}
+    pairs = pairs.withColumns({k: F.coalesce(k, v) for k, v in alone.items()}).withColumn("m_c", F.col("m_t") + F.col("m_o"))
     word = F.log("lift_t") - F.log("lift_o")
     pooled = (rest + F.col("d_c") * F.col("shared")) / F.col("m_c")
-    p = {c: (F.col(c) - _off(F.col(c), d[c])) / (F.col(f"m_{c}") + concentration) + F.col(f"k_{c}") * pooled * F.col(f"lift_{c}") for c in "to"}
-    pairs = with_word.join(fit(contexts), "a").withColumn("ratio", F.log(p["t"]) - F.log(p["o"]))
-    pairs = pairs.filter(F.abs(F.col("ratio") - F.col("context") - word) * F.col("c") >= least).select("a", "b", "ratio")
+    p = {c: (F.col(c) - F.col(f"off_{c}")) / (F.col(f"m_{c}") + concentration) + F.col(f"k_{c}") * pooled * F.col(f"lift_{c}") for c in "to"}
+    pairs = pairs.withColumn("ratio", F.log(p["t"]) - F.log(p["o"])).withColumn("gain", F.col("ratio") - F.log("k_t") + F.log("k_o") - word)
+    pairs = pairs.filter(F.abs("gain") * F.col("c") >= least).select("a", "b", "ratio")
     known = words.join(contexts.select(F.col("a").alias("w"), "context", "m_c"), "w", "full").select("w", F.coalesce(word, F.lit(unknown)).alias("word"), F.coalesce("context", F.lit(0.0)).alias("context"), F.coalesce("types", F.lit(0)).alias("types"), F.coalesce("m_c", F.lit(0)).alias("m_c"))
     known = known.filter((F.abs(F.col("word") - unknown) * F.col("types") >= least) | (F.abs("context") * F.col("m_c") >= least)).select("w", "word", "context")
     return materialize(known, "words"), materialize(pairs, "pairs"), (unknown, 0.0)
@@ -276,46 +299,64 @@ def evidence(rows: DataFrame, model: Model | None, tables: tuple | None) -> Data
     return named.drop("_text").join(x, "_node", "left").select(*[c for c in rows.columns if c != "_text"], *zero)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", ordinary_per_toxic: float = 3.0, curve_rows: int = 1500, most_entries: int = 2_000_000, **smoothing: float) -> Scorer:
-    """Fits both models and the curve. ``learn`` is a condition on the columns of ``labels``."""
-    light_batches(docs.sparkSession)
-    known = labels.filter(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
-    known = materialize(known.withColumn("h", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("toxicity")), F.lit(1 << 40)) / float(1 << 40)), "labels")
-    got = known.agg(F.sum("toxic").alias("yes"), F.count("*").alias("n")).first()
-    yes, n = got["yes"] or 0, got["n"]
-    if not yes or yes == n:
-        return Scorer()
-    chosen = known.filter((F.col("toxic") == 1) | (F.col("h") < ordinary_per_toxic * yes / (n - yes)))
-    chosen = F.broadcast(chosen) if n <= BROADCAST_WORDS else chosen
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(chosen, "id").select("toxic", "_text")
-    # equal texts of a class count once
-    rows = rows.mapInArrow(_named, "toxic int, _text string, _node binary").groupBy("_node", "toxic").agg(F.min("_text").alias("_text"))
-    rows = materialize(rows.withColumn("fold", F.pmod(F.xxhash64("_node"), F.lit(HELD))), "labelled")
-    counts = rows.filter("fold > 0").select("toxic", "_text").mapInArrow(_count, "a long, b long, t long, o long").groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    counts = materialize(counts, "counts")
-    both = counts.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
-    if not both["t"] or not both["o"]:
-        return Scorer()
+def _model(counts: DataFrame, most_entries: int, smoothing: dict) -> tuple[Model | None, tuple | None]:
+    """The kept entries, in arrays or as tables."""
     words, pairs, unknown = entries(counts, **smoothing)
-    model = tables = None
     if words.count() + pairs.count() <= most_entries:
-        model = Model(words.toPandas(), pairs.toPandas(), unknown)
-    else:
-        tables = words, pairs, unknown
-    held = rows.filter("fold = 0")
-    if held.select("toxic").distinct().count() < 2:
-        held = rows
-    held = held.withColumn("h", F.xxhash64("_node", F.lit("curve")))
-    curve = [held.filter(F.col("toxic") == k).orderBy("h", "_node").limit(curve_rows) for k in (0, 1)]
-    # a limit leaves one task, so its rows are spread again
-    chosen = curve[0].unionByName(curve[1]).select("toxic", "h", "_text").repartition("h")
-    x = evidence(chosen, model, tables).orderBy("toxic", "h").toPandas()
-    y = x["toxic"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
-        return Scorer()
-    weights = logistic(x[["x0", "x1", "x2"]].to_numpy(float), y)
+        model = Model(words.toArrow().to_pandas(), pairs.toArrow().to_pandas(), unknown)
+        give_back()
+        return model, None
+    return None, (words, pairs, unknown)
+
+
+@tidy
+def _unseen(rows: DataFrame, counts: DataFrame, half: int, most_entries: int, smoothing: dict) -> DataFrame:
+    """(toxic, x0, x1, x2) of the texts of a half by the model of the other."""
+    other = counts.select("a", "b", *[F.col(f"{c}{1 - half}").alias(c) for c in "to"]).filter("t + o > 0")
+    held = rows.filter(F.col("kind") >= 2) if half else rows.filter(F.col("kind") < 2)
+    return evidence(held.select((F.col("kind") % 2).alias("toxic"), "_text"), *_model(other, most_entries, smoothing))
+
+
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files are deleted once what was written with them is; nothing here is computed again from them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_entries: int = 2_000_000, **smoothing: float) -> Scorer:
+    """Fits both models and the curve on all labelled rows. ``learn`` is a condition on the columns of ``labels``."""
+    light_batches(docs.sparkSession)
+    with _shuffles_go(docs.sparkSession):
+        known = labels.filter(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
+        known = materialize(known, "labels")
+        got = known.agg(F.sum("toxic").alias("yes"), F.count("*").alias("n")).first()
+        yes, n = got["yes"] or 0, got["n"]
+        if not yes or yes == n:
+            return Scorer()
+        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(known) if n <= BROADCAST_WORDS else known, "id").select("toxic", "_text")
+        # equal texts of a class count once
+        rows = rows.mapInArrow(_named, "toxic int, _text string, _node binary").groupBy("_node", "toxic").agg(F.min("_text").alias("_text"))
+        rows = materialize(rows.select((2 * F.pmod(F.xxhash64("_node"), F.lit(2)) + F.col("toxic")).cast("int").alias("kind"), "_text"), "labelled")
+        counts = rows.mapInArrow(_count, ", ".join(f"{c} long" for c in ("a", "b", *KINDS))).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in KINDS])
+        counts = materialize(counts, "counts")
+        total = counts.agg(*[F.sum(c).alias(c) for c in KINDS]).first().asDict()
+        if not any(total[c] for c in ("t0", "t1")) or not any(total[c] for c in ("o0", "o1")):
+            return Scorer()
+        model, tables = _model(counts.select("a", "b", *[(F.col(f"{c}0") + F.col(f"{c}1")).alias(c) for c in "to"]), most_entries, smoothing)
+        if all(total.values()):
+            x = _unseen(rows, counts, 0, most_entries, smoothing).unionByName(_unseen(rows, counts, 1, most_entries, smoothing))
+        else:
+            x = materialize(evidence(rows.select((F.col("kind") % 2).alias("toxic"), "_text"), model, tables), "curve")
+        weights = logistic(x)
+        seen = x.agg(F.avg("toxic")).first()[0]
     share = yes / n
-    weights[0] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
+    weights[0] += math.log(share / (1 - share)) - math.log(seen / (1 - seen))
     return Scorer(model, weights, tables)
 
 
