@@ -3,6 +3,7 @@
 import hashlib
 import random
 import textwrap
+import tracemalloc
 from collections import defaultdict
 from pathlib import Path
 
@@ -446,6 +447,20 @@ def test_toxicity_curve_is_the_plain_logistic(spark):
     assert np.abs(full.T @ (p - y) + 1e-2 * w).max() < 1e-6  # the gradient of the penalised likelihood
 
 
+def test_language_id_holds_little_beside_its_texts():
+    """Parsing takes a few bytes a character, and the letters of a text are the same in pieces."""
+    rng = random.Random(5)
+    model = langid.Identifier({"a": " some plain words of a language ", "b": " andere worte einer sprache é "})
+    texts = [langid.normalise(" ".join(rng.choice(["some", "worte", "plain", "é日", "𐐨x"]) for _ in range(800))) for _ in range(200)]
+    tracemalloc.start()
+    model.phrases(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * sum(map(len, texts))
+    number, long = {chr(c): k + 1 for k, c in enumerate(model.codes)}, "".join(texts[:40])
+    assert len(long) > 2 * langid._PIECE and model.letters([long]).tolist() == [number.get(c, 0) for c in long]
+
+
 @pytest.mark.parametrize("lang", [None, "und", "en"])
 def test_language_stage_keeps_texts_with_letters(spark, lang):
     rows = [(k, "some plain words é", lang, "s", 18) for k in range(20)] + [(20, "123 !!", lang, "s", 6), (21, None, lang, "s", 0), (22, "", lang, "s", 0)]

@@ -39,6 +39,8 @@ from .common import lean, light_batches, release, resident, text_slices
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: With so few parses left, they go on one by one instead of side by side.
 _FEW = 64
+#: Characters whose numbers are looked up at once.
+_PIECE = 1 << 16
 
 
 def normalise(text: str) -> str:
@@ -168,10 +170,15 @@ class Identifier:
         self.start = roots[0] if samples else np.zeros(0, np.int32)
         self.base, self.table = (np.concatenate(x) if x else np.zeros(1, np.int64) for x in (bases, tables))
 
-    def letters(self, text: str) -> np.ndarray:
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, at + 1, 0).astype(np.int32)
+    def letters(self, texts: list[str]) -> np.ndarray:
+        """The letters' numbers of the texts one after another, found for a piece at a time: on the way a character takes ten times what its number does."""
+        out, end = np.empty(sum(map(len, texts)), np.int32), 0
+        for piece in (t[i : i + _PIECE] for t in texts for i in range(0, len(t), _PIECE)):
+            code = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            out[end : end + len(code)] = np.where(self.codes[at] == code, at + 1, 0)
+            end += len(code)
+        return out
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Number of greedy longest-match phrases of each normalised text in each language."""
@@ -179,7 +186,7 @@ class Identifier:
         size = np.array([len(t) for t in texts])
         order = np.argsort(-size, kind="stable")
         size = size[order]
-        flat = self.letters("".join(texts[i] for i in order))
+        flat = self.letters([texts[i] for i in order])
         start = np.concatenate(([0], np.cumsum(size)[:-1]))
         state = np.tile(self.start.astype(np.int64), (len(texts), 1))
         count = np.zeros_like(n)
