@@ -62,6 +62,28 @@ def test_bpe_stream_with_small_tables(encoding):
     assert list(small.stream([text[i : i + 7].encode() for i in range(0, 5000, 7)], every=64)) == enc.encode_ordinary(text)
 
 
+def test_bpe_keeps_frequent_pieces_among_rare_ones(encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "_PIECES", 60)
+    enc, codec, rng = encoding[1], bpe.Codec(encoding[0].machine.ranks, encoding[0].fine.pattern), random.Random(5)
+    word = lambda: " " + "".join(rng.choice("qzxvkjw") for _ in range(9))
+    often, met = [word() for _ in range(40)], []
+    plain = codec.machine.encode
+    monkeypatch.setattr(codec.machine, "encode", lambda p: met.append(p) or plain(p))
+    for _ in range(30):
+        text = "".join([*often, *(word() for _ in range(200))])
+        assert codec.encode(text) == enc.encode_ordinary(text)
+    # each of the 6,000 rare pieces once, the frequent ones until they are kept
+    assert len(met) < 6000 + 40 * 5 and max(len(codec.memo), len(codec.older)) <= 60
+
+
+def test_bpe_builds_no_state_for_the_last_byte(encoding, monkeypatch):
+    machine, steps = bpe.Transducer(encoding[0].machine.ranks), []
+    plain = machine.step
+    monkeypatch.setattr(machine, "step", lambda s, c: steps.append(c) or plain(s, c))
+    piece = b" qzxvkjwq"
+    assert list(machine.encode(piece)) == encoding[1].encode_ordinary(piece.decode()) and len(steps) == len(piece) - 1
+
+
 def test_utf8_machine_equals_python(encoding):
     codec, _ = encoding
     rng = random.Random(3)

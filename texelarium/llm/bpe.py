@@ -8,8 +8,9 @@ is determinised lazily: a deterministic state is the list of live
 configurations, built when a text first needs it, and each step outputs the last
 token of the encoding so far. A token is emitted as soon as the paths of all live
 configurations agree on it, which takes a lookahead of about the longest token.
-Memory is bounded: a state is kept once it is met a second time, the state table
-is emptied at its limit, and pieces are forgotten a turn after they were last met.
+The last byte of a piece needs its token only, no state. Memory is bounded: states
+and pieces are kept once they are met a second time, the state table is emptied at
+its limit, and pieces are forgotten a turn after they were last met.
 
 Decoding is streaming: an incremental UTF-8 state machine (malformed bytes
 become U+FFFD) whose steps over whole tokens are remembered per (state, token).
@@ -41,7 +42,7 @@ _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _ODD = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 #: The same pieces in the terms of ``re``, which is faster; it needs a text without numerals other than decimal digits.
 _FAST = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_STATES, _PIECES, _LONG, _MET = 100_000, 60_000, 256, (1 << 20) - 1
+_STATES, _PIECES, _LONG, _MET = 100_000, 150_000, 256, (1 << 20) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -121,7 +122,7 @@ class Transducer:
         return self.parts[t]
 
     def fits(self, s: int, t: int) -> bool:
-        """Do tokens s and t encode to themselves side by side?
+        """Does t encode to itself, and do tokens s (-1: none) and t side by side, where s does?
 
         Merges run in the order of rank, so undoing them from the last one back
         visits every two parts that ever stand side by side at the bound. The
@@ -136,8 +137,8 @@ class Transducer:
             self.pairs.clear()
         ranks, name = self.ranks, self.bytes_of
         a, b, end_a, end_b = s, t, 1 << 60, 1 << 60
-        ok = True
-        while True:
+        ok = self.split(t) is not None
+        while ok and s >= 0:
             r = ranks.get(name[a] + name[b])
             if r is not None and r < end_a and r <= end_b:
                 ok = False
@@ -161,17 +162,22 @@ class Transducer:
 
     def step(self, state: dict, c: int) -> dict:
         """Builds one deterministic transition: the next state."""
-        old, live, done = state[None], [], -1
-        child, token, inner = self.child, self.token, self.inner
-        for k in range(0, len(old), 2):
-            to = child.get(old[k] << 8 | c)
+        live, done = [], -1
+        child, token, inner, pairs, bits = self.child, self.token, self.inner, self.pairs, self.bits
+        both = iter(state[None])
+        for node, s in zip(both, both):
+            to = child.get(node << 8 | c)
             if to is None:
                 continue
-            if done < 0 and (t := token[to]) >= 0 and self.split(t) is not None and ((s := old[k + 1]) < 0 or self.fits(s, t)):
-                done = t
+            if done < 0 and (t := token[to]) >= 0:
+                ok = pairs.get(s << bits | t)
+                if self.fits(s, t) if ok is None else ok:
+                    done = t
             if inner[to]:
-                live += (to, old[k + 1])
-        live += (0, done)
+                live.append(to)
+                live.append(s)
+        live.append(0)
+        live.append(done)
         name = tuple(live)
         got = self.known.get(name)
         if got is None:
@@ -202,23 +208,36 @@ class Transducer:
                     del last[:n]
         yield from self._path(last, len(last))
 
-    def encode(self, piece: bytes) -> list[int]:
+    def end(self, state: dict, c: int) -> int:
+        """The last token where a piece ends with c: what ``step`` would find, without the state behind it."""
+        child, token, pairs, bits = self.child, self.token, self.pairs, self.bits
+        both = iter(state[None])
+        for node, s in zip(both, both):
+            to = child.get(node << 8 | c)
+            if to is not None and (t := token[to]) >= 0:
+                ok = pairs.get(s << bits | t)
+                if self.fits(s, t) if ok is None else ok:
+                    return t
+        raise AssertionError("every byte string has an encoding")
+
+    def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
-            return [whole]
+            return (whole,)
         if len(piece) > 256:
-            return list(self.stream((piece,)))
+            return tuple(self.stream((piece,)))
         if len(self.known) >= self.most:
             self.reset()
         state, last = self.start, []
         add = last.append
-        for c in piece:
-            try:
-                state = state[c]
-            except KeyError:
-                state = self.step(state, c)
+        for c in piece[:-1]:
+            got = state.get(c)
+            state = self.step(state, c) if got is None else got
             add(state)
-        return self._path(last, len(last))
+        c = piece[-1]
+        got = state.get(c)
+        t, n = self.size[self.end(state, c) if got is None else got[None][-1]]
+        return *self._path(last, len(piece) - n), t
 
     def _path(self, last: list[dict], end: int) -> list[int]:
         """The tokens up to a bound, read backwards from the last token there; ``last`` has the state after each byte."""
@@ -289,30 +308,34 @@ class Codec:
         self.machine = Transducer(ranks)
         self.fine = regex.compile(pattern)
         self.known = pattern == _KNOWN
-        #: pieces to ids: those met since the last turn, and those of the turn before
+        #: pieces to ids: those met again since the last turn, and those of the turn before
         self.memo: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
+        self.met = bytearray(_MET + 1)  # hashes of the pieces met in this turn
         self.name = {i: str(i) for i in self.machine.bytes_of}
         #: UTF-8 state to {token: (next state's table, text)}
         self.heard: dict[bytes, dict] = {b"": {}}
 
     def _piece(self, piece: str) -> tuple:
-        """Ids of a piece that was not met since the last turn."""
-        ids = self.older.get(piece) or tuple(self.machine.encode(piece.encode("utf-8", "replace")))
-        if len(piece) <= _LONG:
-            if len(self.memo) >= _PIECES:
-                self.older, self.memo = self.memo, {}
-            self.memo[piece] = ids
+        """Ids of a piece that is not kept since the last turn."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.machine.encode(piece.encode("utf-8", "replace"))
+            if len(piece) > _LONG:
+                return ids
+            at = hash(piece) & _MET
+            if not self.met[at]:  # many pieces are met once only and are not kept
+                self.met[at] = 1
+                return ids
+        if len(self.memo) >= _PIECES:
+            self.older, self.memo, self.met = self.memo, {}, bytearray(_MET + 1)
+        self.memo[piece] = ids
         return ids
 
-    def parts(self, text: str) -> Iterator[tuple]:
-        """The ids of each piece."""
+    def encode(self, text: str) -> list[int]:
         get, piece = self.memo.get, self._piece
         pieces = _FAST if self.known and _ODD.isdisjoint(text) else self.fine
-        return (get(m) or piece(m) for m in pieces.findall(text))
-
-    def encode(self, text: str) -> list[int]:
-        return [t for part in self.parts(text) for t in part]
+        return [t for m in pieces.findall(text) for t in get(m) or piece(m)]
 
     def _hear(self, table: dict, t: int) -> tuple:
         held = next(k for k, v in self.heard.items() if v is table)
