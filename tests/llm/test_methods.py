@@ -198,6 +198,32 @@ def test_near_duplicates_star(spark, copies):
     assert {r["id"]: r["class_id"] for r in got} == _classes(range(len(sets)), links)
 
 
+def test_near_duplicates_write_few_files_of_links(spark, monkeypatch):
+    files, rng = defaultdict(list), random.Random(8)
+    plain = minhash.materialize
+
+    def counted(df, tag):
+        done = plain(df, tag)
+        files[tag].append(len(done.inputFiles()))
+        return done
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    rows = []
+    for k in range(0, 60, 2):
+        words = [f"{rng.randrange(1 << 30):x}" for _ in range(20_000)]
+        rows += [(k, " ".join(words)), (k + 1, " ".join(words[:-9]))]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["id"]: r["class_id"] for r in out.collect()} == {k: k // 2 * 2 for k in range(60)}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert max(files["shingles"]) > 1 and max(files["found"]) == 1
+
+
 def test_shingles_are_those_of_words():
     texts = ["The cat, sat on THE mat today", "a b", "", "é è ê ë ē x", "x " * 300_000]
     for t in texts:

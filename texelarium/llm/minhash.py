@@ -245,7 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         sides = pairs.join(values.select(F.col("node").alias("a"), F.col("value").alias("x")), "a").join(values.select(F.col("node").alias("b"), F.col("value").alias("y")), "b")
-        found = materialize(sides.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a binary, b binary"), "found")
+        found = sides.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a binary, b binary")
+        # the many tasks that read shingles find few links each: dealt anew, as each file costs its executor a process (chmod) on local folders
+        found = materialize(found.repartition("a", "b"), "found")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if k + 1 == rounds:
