@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from texelarium.llm import bpe, langid, licenses, minhash, mixing, queries, shingles, toxicity
+from texelarium.llm import blocks, bpe, components, langid, licenses, minhash, mixing, queries, shingles, toxicity
 from texelarium.llm.components import connected_components
 
 QUERIES, SQL = queries.queries(), queries.oracle_sql()
@@ -224,6 +224,62 @@ def test_near_duplicates_write_few_files_of_links(spark, monkeypatch):
     assert max(files["shingles"]) > 1 and max(files["found"]) == 1
 
 
+def test_near_duplicates_small_tables_in_few_files(spark, monkeypatch):
+    """Many shuffle partitions that nothing joins again: tables without shingles are not cut in as many files."""
+    files, rng = defaultdict(list), random.Random(10)
+    plain = minhash.materialize
+
+    def counted(df, tag):
+        done = plain(df, tag)
+        files[tag].append(len(done.inputFiles()))
+        return done
+
+    for m in (minhash, blocks, components):
+        monkeypatch.setattr(m, "materialize", counted)
+    monkeypatch.setattr(minhash, "pieces", lambda df: 4, raising=False)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(5, 295), 2 + k % 13):
+            words[at] = f"x{k}at{at}"
+        rows.append((k, " ".join(words)))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert {r["id"]: r["class_id"] for r in got} == _classes(range(60), _alike(rows))
+    large = {t: max(n) for t, n in files.items() if t not in ("signed", "shingles") and max(n) > 4}
+    assert len(files) > 12 and not large, large
+
+
+def test_blocks_of_repeating_texts(monkeypatch):
+    """All pairs of blocks whose shingles repeat: as computed one by one, without doing so for most."""
+    rng = np.random.default_rng(11)
+    pool = rng.integers(-(1 << 62), 1 << 62, 40)
+
+    def one(most):
+        n = rng.integers(1, most, len(pool)) * (rng.random(len(pool)) < 0.97)
+        return np.sort(np.repeat(pool, n))
+
+    base = one(9)
+    near = [np.sort(np.concatenate((base, rng.choice(pool, k)))) for k in rng.integers(0, 90, 40)]
+    x, y = [*near[:20], *(one(6) for _ in range(10)), np.unique(base)], [*near[20:], *(one(3) for _ in range(10)), base, np.repeat(base, 2)]
+    value = np.array([[minhash.similarity(a.view(np.uint64), b.view(np.uint64)) for b in y] for a in x])
+    asked, plain = [], minhash.similarity
+    monkeypatch.setattr(minhash, "similarity", lambda a, b: asked.append(1) or plain(a, b))
+    for threshold in (0.6, 0.8, 0.9, float(value[0, 1])):  # the last one is met exactly
+        assert 20 < (value >= threshold).sum() < value.size - 20
+        assert ((value >= threshold) == minhash._alike(threshold)(x, y)).all()
+    assert len(asked) < 0.05 * value.size
+    for room in (1, 200, 1 << 18):
+        assert ((value >= 0.8) == minhash._weighed(x, y, np.ones(value.shape, bool), 0.8, room)).all()
+
+
 def test_shingles_are_those_of_words():
     texts = ["The cat, sat on THE mat today", "a b", "", "é è ê ë ē x", "x " * 300_000]
     for t in texts:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, release
+from .common import gathered, lean, materialize, release
 
 
 def _jobs(hits: Callable[[list, list], np.ndarray]):
@@ -51,26 +51,27 @@ def _jobs(hits: Callable[[list, list], np.ndarray]):
     return run
 
 
-def cross_links(members: DataFrame, keys: list[str], values: DataFrame, hits: Callable[[list, list], np.ndarray], block: int) -> DataFrame:
+def cross_links(members: DataFrame, keys: list[str], values: DataFrame, hits: Callable[[list, list], np.ndarray], block: int, most: int | None = None) -> DataFrame:
     """(a, b): pairs of parts of which two members that share a bucket are linked.
 
     members: (keys of the bucket, node, part); values: (node, value), once a node;
-    ``hits`` tells from two lists of values which of their pairs are linked.
+    ``hits`` tells from two lists of values which of their pairs are linked. What
+    holds no values is done in at most ``most`` partitions, where that is given.
     """
     mixed = members.groupBy(*keys).agg((F.min("part") != F.max("part")).alias("mixed")).filter("mixed").select(*keys)
-    mixed = materialize(mixed, "keys")
-    members = materialize(members.join(mixed, keys), "mixed")
+    mixed = materialize(gathered(mixed, most), "keys")
+    members = materialize(gathered(members.join(mixed, keys), most), "mixed")
     small = F.col("n") < block // 2
     sizes = members.groupBy(*keys, "part").agg(F.count("*").alias("n"))
     sizes = sizes.select(*keys, "part", small.alias("small"), "n", F.when(small, F.lit(b"")).otherwise(F.col("part")).alias("own"))
     # tables of their own, so that the joins are plain ones whose hot buckets can be split
-    sizes = materialize(sizes, "sizes")
+    sizes = materialize(gathered(sizes, most), "sizes")
     fill = sizes.groupBy(*keys, "own").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
-    fill = materialize(fill, "fill")
+    fill = materialize(gathered(fill, most), "fill")
     k = F.pmod(F.xxhash64(F.when(F.col("small"), F.col("part")).otherwise(F.col("node"))), F.col("blocks"))
     placed = members.join(sizes, [*keys, "part"]).join(fill, [*keys, "own"]).select(*keys, "own", F.xxhash64("own", k).alias("i"), "node", "part")
-    placed = materialize(placed, "placed")
-    blocks = materialize(placed.select(*keys, "own", "i").distinct(), "blocks")
+    placed = materialize(gathered(placed, most), "placed")
+    blocks = materialize(gathered(placed.select(*keys, "own", "i").distinct(), most), "blocks")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys]
     meet = F.expr("x.i <= y.i AND (x.own <> y.own OR octet_length(x.own) = 0)")
     pairs = blocks.alias("x").join(blocks.alias("y"), [*same, meet])
@@ -78,4 +79,5 @@ def cross_links(members: DataFrame, keys: list[str], values: DataFrame, hits: Ca
     first, second = F.struct(F.col("i"), F.lit(0).alias("side")), F.struct(F.col("j").alias("i"), F.lit(1).alias("side"))
     sides = pairs.select(*keys, "job", F.explode(F.when(F.col("i") == F.col("j"), F.array(first)).otherwise(F.array(first, second))).alias("s")).select(*keys, "job", "s.i", "s.side")
     rows = sides.join(placed, [*keys, "i"]).select("job", "side", "part", "node").join(values, "node").select("job", "side", "part", "value")
-    return materialize(rows.repartition("job").sortWithinPartitions("job", "side").mapInPandas(_jobs(hits), "a binary, b binary").distinct(), "across")
+    across = rows.repartition("job").sortWithinPartitions("job", "side").mapInPandas(_jobs(hits), "a binary, b binary").distinct()
+    return materialize(gathered(across, most), "across")

@@ -139,6 +139,23 @@ def discard(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def pieces(df: DataFrame, size: int = 1 << 20) -> int:
+    """How many partitions suit tables about as large as this one that ``materialize`` wrote: one a MB, two a core at least."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._texelarium_path)
+    n = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(2 * spark.sparkContext.defaultParallelism, -(-n // size))
+
+
+def gathered(df: DataFrame, most: int | None) -> DataFrame:
+    """``df`` in at most so many partitions, all rows kept; None: as they are.
+
+    A small table that is dealt over many shuffle partitions costs a task and a
+    file for each of them, which take far longer than its rows.
+    """
+    return df if most is None else df.coalesce(most)
+
+
 def light_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 4 MB, where the session has Spark's default of 64 MB.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, gathered, materialize
 
 
 def _checksum(df: DataFrame) -> tuple:
@@ -23,26 +23,27 @@ def _checksum(df: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str, most: int | None = None) -> DataFrame:
     """Returns (node, component): the smallest node that each linked node reaches.
 
     Nodes that occur in no link to another node are not returned. Null ends and
-    self-links are ignored. Any orderable type can name a node.
+    self-links are ignored. Any orderable type can name a node. Each step is done
+    in at most ``most`` partitions, where that is given.
     """
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialize(e, "links")
+    e = materialize(gathered(e, most), "links")
     seen = _checksum(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = materialize(least, "least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        least = materialize(gathered(least, most), "least")
+        large = gathered(both.filter("v > u").join(least, "u"), most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(gathered(large, most), "large")
+        low = materialize(gathered(large.groupBy("u").agg(F.min("v").alias("m")), most), "low")
         pair = lambda x: F.struct(F.col(x).alias("u"), F.col("m").alias("v"))
-        small = large.join(low, "u").select(F.explode(F.array(pair("u"), pair("v"))).alias("p")).select("p.u", "p.v").filter("u <> v").distinct()
-        small = materialize(small, "small")
+        small = gathered(large.join(low, "u"), most).select(F.explode(F.array(pair("u"), pair("v"))).alias("p")).select("p.u", "p.v").filter("u <> v").distinct()
+        small = materialize(gathered(small, most), "small")
         now = _checksum(small)
         for old in (e, least, large, low):
             discard(old)

@@ -20,7 +20,9 @@ links; (6) in every bucket that still holds more than one component, all pairs o
 different components are verified in blocks, so each pair that shares a bucket is
 verified or connected. Shingles are written once a node, only for nodes that
 share a bucket; centres, components and shingles are tables of their own, so
-every join is a plain one whose hot keys adaptive execution can split.
+every join is a plain one whose hot keys adaptive execution can split. Tables of
+keys, nodes and links are small next to the shingles and many: they are gathered
+in partitions that suit their size, however many a shuffle has.
 
 Defined cases: null and empty texts and texts without words have no shingles and
 link with nothing (each is its own class). Rows with equal words are one class.
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cross_links
-from .common import lean, light_batches, materialize, release, text_slices, tidy
+from .common import gathered, lean, light_batches, materialize, pieces, release, text_slices, tidy
 from .components import connected_components
 from .shingles import digest, mix, normalise, shingle_hashes, shingle_set
 
@@ -175,6 +177,41 @@ def _occurrences(v: np.ndarray) -> np.ndarray:
     return np.where(k > 0, mix(v + k.astype(_U) * _U(0x9E3779B97F4A7C15)), v)
 
 
+def _weighed(x: list, y: list, ask: np.ndarray, threshold: float, room: int = 1 << 18) -> np.ndarray:
+    """Which of the asked pairs of two lists of shingle arrays in which repeats are weights reach the threshold: as ``similarity`` says, many at once.
+
+    With s the sum of the smaller shares that a shingle has of either text, the
+    probability Jaccard is s at most and s / (2 - s) at least; between, it is
+    computed by its definition, and right at the threshold by ``similarity``.
+    """
+    out = np.zeros(ask.shape, bool)
+    own = [np.unique(v, return_counts=True) for v in y]
+    total = np.array([max(1, len(v)) for v in y], float)
+    longest = max((len(h) for h, _ in own), default=0)
+    for i in np.flatnonzero(ask.any(axis=1)):
+        hx, wx = np.unique(x[i], return_counts=True)
+        wx = wx.astype(float)
+        asked, step = np.flatnonzero(ask[i]), max(1, room // max(1, len(hx), longest))
+        for js in (asked[s : s + step] for s in range(0, len(asked), step)):
+            h, w = (np.concatenate(c) for c in zip(*(own[j] for j in js)))
+            row = np.repeat(np.arange(len(js)), [len(own[j][0]) for j in js])
+            col = np.searchsorted(hx, h)
+            both = np.flatnonzero(hx[np.minimum(col, len(hx) - 1)] == h)
+            wy = np.zeros((len(js), len(hx)))
+            wy[row[both], col[both]] = w[both]
+            s = np.minimum(wy / total[js, None], wx / wx.sum()).sum(axis=1)
+            out[i, js] = s / (2 - s) >= threshold + 1e-9
+            left = np.flatnonzero(~out[i, js] & (s >= threshold - 1e-9))
+            by = np.argsort(wy[left] / wx, axis=1)
+            xs, ys = wx[by], np.take_along_axis(wy[left], by, 1)
+            rest = total[js[left], None] - np.cumsum(ys, axis=1)
+            p = np.divide(1.0, np.cumsum(xs, axis=1) / xs + rest / np.where(ys > 0, ys, 1.0), out=np.zeros_like(xs), where=ys > 0).sum(axis=1)
+            out[i, js[left]] = p >= threshold
+            for j in js[left[np.abs(p - threshold) < 1e-9]]:
+                out[i, j] = similarity(x[i].view(_U), y[j].view(_U)) >= threshold
+    return out
+
+
 def _alike(threshold: float, step: int = 1 << 14):
     """Which pairs of two lists of shingle arrays reach the threshold, from exact counts of their common shingles."""
 
@@ -201,10 +238,8 @@ def _alike(threshold: float, step: int = 1 << 14):
         flat_x, flat_y = (np.array([not (v[1:] == v[:-1]).any() for v in side]) for side in (x, y))
         # where shingles repeat, common occurrences over the smaller total bound the similarity from above; what passes is computed exactly
         weigh = ~(flat_x[:, None] & flat_y[None, :])
-        out[weigh] = False
-        for i, j in zip(*np.nonzero(weigh & (n >= threshold * np.minimum(a, b) * (1 - 1e-9)))):
-            out[i, j] = similarity(x[i].view(_U), y[j].view(_U)) >= threshold
-        return out
+        ask = weigh & (n > 0) & (n >= threshold * np.minimum(a, b) * (1 - 1e-9))
+        return np.where(weigh, _weighed(x, y, ask, threshold), out) if weigh.any() else out
 
     return hits
 
@@ -225,11 +260,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     signed = materialize(src.mapInArrow(_sign(width, bands, rows, weights), f"id {kind}, node binary, bands array<long>"), "signed")
+    some = pieces(signed)
     one = signed.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     spread = one.select("node", F.posexplode("bands").alias("band", "key"))
     multi = spread.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
-    multi = materialize(multi, "multi")
-    members = materialize(spread.join(multi, ["band", "key"]).select("band", "key", "node"), "members")
+    multi = materialize(gathered(multi, some), "multi")
+    members = materialize(gathered(spread.join(multi, ["band", "key"]).select("band", "key", "node"), some), "members")
+    few = pieces(members)
     wanted = members.select("node").distinct()
     # copies combine before the shuffle and the join, so a text with many of them is no task's burden
     texts = src.filter(F.col("text").isNotNull()).select("text").mapInArrow(_with_node, "node binary, text string").filter("node is not null").groupBy("node").agg(F.min("text").alias("text")).join(wanted, "node", "left_semi")
@@ -238,34 +275,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for k in range(rounds):
         rank = F.struct(F.xxhash64("node", "band", F.lit(k)).alias("h"), F.col("node"))
         centre = members.groupBy("band", "key").agg(F.min(rank)["node"].alias("c"), F.count("*").alias("n")).filter("n > 1")
-        centre = materialize(centre, "centre")
-        near = members.join(centre, ["band", "key"]).filter("node <> c")
+        centre = materialize(gathered(centre, few), "centre")
+        near = gathered(members.join(centre, ["band", "key"]).filter("node <> c"), few)
         pairs = near.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(gathered(pairs, few), "pairs")
         sides = pairs.join(values.select(F.col("node").alias("a"), F.col("value").alias("x")), "a").join(values.select(F.col("node").alias("b"), F.col("value").alias("y")), "b")
         found = sides.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a binary, b binary")
         # the many tasks that read shingles find few links each: dealt anew, as each file costs its executor a process (chmod) on local folders
-        found = materialize(found.repartition("a", "b"), "found")
+        found = materialize(gathered(found.repartition("a", "b"), few), "found")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if k + 1 == rounds:
             break
         # what the centre does not match goes on, without the centre
         left = near.select("band", "key", "node", F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).join(links, ["a", "b"], "left_anti").select("band", "key", "node")
-        left = materialize(left, "left")
+        left = materialize(gathered(left, few), "left")
         if left.isEmpty():
             break
         members = left
-    groups = materialize(connected_components(links, "a", "b"), "groups")
+    groups = materialize(gathered(connected_components(links, "a", "b", few), few), "groups")
     # the only pair of a bucket of two has met already
-    more = materialize(whole.groupBy("band", "key").count().filter("count > 2").select("band", "key"), "more")
+    more = whole.groupBy("band", "key").count().filter("count > 2").select("band", "key")
+    more = materialize(gathered(more, few), "more")
     parts = whole.join(more, ["band", "key"]).join(groups, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("part"))
-    across = cross_links(parts, ["band", "key"], values, _alike(threshold), block)
+    across = cross_links(parts, ["band", "key"], values, _alike(threshold), block, few)
     if not across.isEmpty():
         # a part without links so far is a node of its own
-        over = materialize(connected_components(across, "a", "b"), "over").select(F.col("node").alias("component"), F.col("component").alias("top"))
+        over = materialize(gathered(connected_components(across, "a", "b", few), few), "over").select(F.col("node").alias("component"), F.col("component").alias("top"))
         known = groups.unionByName(over.select(F.col("component").alias("node"), "component").join(groups.select("node"), "node", "left_anti"))
         groups = known.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     groups = groups.withColumnRenamed("node", "g")
@@ -273,10 +311,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = signed.groupBy("id", "node").agg(F.count("*").alias("m"))
     # without words there is no class but the row itself
     named = counted.join(groups, F.col("node") == F.col("g"), "left").select("id", "node", "m", F.coalesce("component", "node").alias("component"))
-    named = materialize(named, "named")
+    named = materialize(gathered(named, some), "named")
     best = named.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))).alias("best"), F.sum("m").alias("class_size"))
     # a table of its own, so that the join is a plain one whose hot classes can be split
-    out = named.join(materialize(best, "best"), "component", "left").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    out = named.join(materialize(gathered(best, some), "best"), "component", "left").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     alone = F.col("component").isNull()
     chosen = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node")) & (F.col("i") == 1)
-    return out.select("id", "node", F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.when(alone, F.lit(True)).otherwise(chosen).alias("kept"))
+    return gathered(out, some).select("id", "node", F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.when(alone, F.lit(True)).otherwise(chosen).alias("kept"))
