@@ -143,10 +143,20 @@ def store_field(lane: Column, bits: int, signed_: bool = False) -> Column:
     return v.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
+def _exponent(a: Column, low: int, high: int) -> Column:
+    """The exponent of a value, held between two bounds.
+
+    A logarithm that rounds across a power of two gives its other side, where the
+    stores below give the same code: a full mantissa carries. Counting the powers
+    is exact too, but as code it is too long for the JVM to compile.
+    """
+    return F.floor(F.log2(F.least(F.greatest(a, _d(2.0**low)), _d(2.0**high)))).cast("long")
+
+
 def store_small_float(c: Column, mantissa: int, sign: bool = False) -> Column:
     """Five exponent bits (bias 15), ties to even; without a sign negative values are 0, what is too large is infinity."""
     a = F.abs(c)
-    e = sum((F.when(a >= 2.0**k, 1).otherwise(0) for k in range(-13, 17)), F.lit(-14)).cast("long")
+    e = _exponent(a, -14, 16)
     code = (e + 14) * (1 << mantissa) + F.rint(a * F.pow(_d(2.0), (F.lit(mantissa) - e).cast("double"))).cast("long")
     top = F.lit(31 << mantissa).cast("long")
     code = F.when(F.isnan(c), top + 1).when(a >= 2.0**16, top).otherwise(F.least(code, top))
@@ -160,13 +170,10 @@ def pack_b10g11r11(r: Column, g: Column, b: Column) -> Column:
 
 
 def pack_e5b9g9r9(r: Column, g: Column, b: Column) -> Column:
-    """Shared exponent from the largest channel; adds a half and truncates; bumps the exponent on carry.
-
-    The exponent is counted on the powers of two themselves, so no logarithm can round it.
-    """
+    """Shared exponent from the largest channel; adds a half and truncates; bumps the exponent on carry."""
     r, g, b = (clamp(c, 0.0, 65408.0) for c in (r, g, b))
     top = F.greatest(r, g, b)
-    e = sum((F.when(top >= 2.0**k, 1).otherwise(0) for k in range(-15, 16)), F.lit(0)).cast("long")
+    e = _exponent(top, -16, 15) + 16
     unit = F.pow(_d(2.0), (e - 24).cast("double"))
     e = F.when(F.floor(top / unit + 0.5) >= 512, e + 1).otherwise(e)
     unit = F.pow(_d(2.0), (e - 24).cast("double"))
