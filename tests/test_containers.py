@@ -147,3 +147,10 @@ def test_codecs_are_made_once(monkeypatch):
         t = _texture()
         assert C.read_ktx2(C.write_ktx2(t, "zstd", 3)) == t
     assert len(made) <= 2
+
+
+def test_dds_sizes_are_asked_once_a_level(monkeypatch):
+    t, asked = _texture(layers=12, mips=3, cube=True), []
+    monkeypatch.setattr(C, "level_bytes", lambda *a, f=C.level_bytes: asked.append(a) or f(*a))
+    assert C.read_dds(C.write_dds(t)) == t
+    assert len(asked) <= 8  # three levels and the pitch written, three levels read
