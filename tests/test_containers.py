@@ -154,3 +154,13 @@ def test_dds_sizes_are_asked_once_a_level(monkeypatch):
     monkeypatch.setattr(C, "level_bytes", lambda *a, f=C.level_bytes: asked.append(a) or f(*a))
     assert C.read_dds(C.write_dds(t)) == t
     assert len(asked) <= 8  # three levels and the pitch written, three levels read
+
+
+def test_ktx2_descriptor_is_made_once_a_shape(monkeypatch):
+    """Volumes of one shape share what stands before their levels."""
+    made = []
+    monkeypatch.setattr(C, "descriptor", lambda *a, f=C.descriptor: made.append(a) or f(*a))
+    for k in range(5):
+        t = C.Texture("R8G8_UNORM", 13, 13, [[bytes([k]) * C.level_bytes("R8G8_UNORM", 13, 13, m, 4) for m in range(2)]], depth=4)
+        assert C.read_ktx2(C.write_ktx2(t, "zlib")) == t
+    assert len(made) <= 1
